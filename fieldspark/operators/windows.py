@@ -38,12 +38,24 @@ def filter_group_size(df: DataFrame, keys: Sequence[str], low: int = 1, high: in
 
 def drop_isolated(df: DataFrame, *groupings: Sequence[str]) -> DataFrame:
     """Drop the rows that are alone in *every* one of the groupings."""
-    out, alone = df, None
-    for i, keys in enumerate(groupings):
-        out = null_safe_join(out, group_sizes(df, keys, f"__n{i}"), keys, "left")
-        single = F.col(f"__n{i}") == 1
-        alone = single if alone is None else alone & single
-    return out.filter(~alone).drop(*[f"__n{i}" for i in range(len(groupings))])
+    cells = linked_cells(df, *groupings)
+    return null_safe_join(df, cells, [c for c in cells.columns if c != "n"], "left_semi")
+
+
+def linked_cells(df: DataFrame, *groupings: Sequence[str]) -> DataFrame:
+    """Row counts per combination of all grouping columns, without cells whose row is alone in every grouping.
+
+    The rows are counted once; the groupings are then summed over the counts
+    (site and year combinations: a few cells per group).
+    """
+    keys = list(dict.fromkeys(k for grouping in groupings for k in grouping))
+    cells = group_sizes(df, keys)
+    sizes = [F.sum("n").over(W.partitionBy(*grouping)) for grouping in groupings]
+    marked = cells.withColumns({f"__n{i}": size for i, size in enumerate(sizes)})
+    alone = F.lit(True)
+    for i in range(len(sizes)):
+        alone = alone & (F.col(f"__n{i}") == 1)
+    return marked.filter(~alone).select(*keys, "n")
 
 
 def with_group_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

@@ -152,7 +152,7 @@ class SeasonalAnalysis:
         parts = {"climate": self.climate, "weather": self.weather, "human": self.human}
         frames = [log.frame(spark, dataset=name, round=label) for label, log in parts.items()]
         base = [
-            (name, "season", i, label, True, fit.aic, fit.r2_marginal, fit.r2_conditional)
+            (name, "season", i, label, True, float(fit.aic), float(fit.r2_marginal), float(fit.r2_conditional))
             for i, (label, fit) in enumerate((("null", self.null), ("m1", self.m1), ("m2", self.m2)))
         ]
         out = spark.createDataFrame(base, frames[0].schema)

@@ -14,6 +14,8 @@ from ..stats.mixed import MixedFit, predict_with_groups
 
 # Fixed values of the analysis.
 PEAK_DAYS, MIN_ROWS, MARGIN_DAYS = 21, 19, 14
+# Windows equal to this many digits are ties: the earlier one wins, whatever the order of summation.
+TIE_DIGITS = 9
 
 
 def prediction_grid(sites: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def predicted_curves(sites: DataFrame, fit: MixedFit, effects: DataFrame, missin
 def peak_windows(curves: DataFrame) -> DataFrame:
     """Start and end of the 21 days with the highest mean prediction of each site (365 rows per site)."""
     rolled = rolling_mean_ahead(curves, ["SITE"], "jdate", "pred", PEAK_DAYS, "roll_mean")
-    best = top_rows(rolled, ["SITE"], [F.desc_nulls_last("roll_mean"), F.asc("jdate")])
+    best = top_rows(rolled, ["SITE"], [F.desc_nulls_last(F.round("roll_mean", TIE_DIGITS)), F.asc("jdate")])
     return best.select(
         "SITE",
         F.col("jdate").cast("int").alias("start_day"),
@@ -62,7 +64,7 @@ def sampled_day_rows(samples: DataFrame, site_years: DataFrame, wrap: bool = Fal
 def observed_peaks(day_rows: DataFrame) -> DataFrame:
     """Best three-week window per site-year; a site-year without a full window keeps a null total."""
     totals = window_sum_ahead(day_rows, ["SITE", "year"], "sampled_days", "DB_post_sample", PEAK_DAYS, MIN_ROWS, "total_3wk")
-    best = top_rows(totals, ["SITE", "year"], [F.desc_nulls_last("total_3wk"), F.asc("sampled_days")])
+    best = top_rows(totals, ["SITE", "year"], [F.desc_nulls_last(F.round("total_3wk", TIE_DIGITS)), F.asc("sampled_days")])
     return best.select(
         "SITE",
         "year",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.calendar import date_span, year_text
 from ..functions.nulls import ratio, strict_mean, strict_median
@@ -12,7 +13,7 @@ from ..operators.aggregates import standardise
 from ..operators.joins import drop_matching_rows, enrich, keep_matching, natural_join, null_safe_join, suffix_join
 from ..operators.projection import across, shared_names, truncate_linked
 from ..operators.reshape import stack_rows
-from ..operators.windows import day_chunks, drop_isolated, filter_group_size
+from ..operators.windows import day_chunks, linked_cells
 from ..sources.schemas import ENV_VARIABLES, SITE_KEYS
 
 # Fixed values of the analysis.
@@ -36,8 +37,11 @@ def keep_usable(samples: DataFrame) -> DataFrame:
     dated = samples.filter(F.col("SITE") != EXCLUDED_SITE).withColumns(
         {"year_start": year_text(F.col("START_DATE")), "year_end": year_text(F.col("COLL_DATE"))}
     )
-    linked = drop_isolated(dated, ["SITE", "year_start"], ["SITE", "year_end"]).drop("year_start", "year_end")
-    return filter_group_size(linked, ["SITE"], low=MIN_SAMPLES)
+    cells = linked_cells(dated, ["SITE", "year_start"], ["SITE", "year_end"])
+    # still a handful of cells per site: one per pair of start and end year
+    per_site = cells.withColumn("__site", F.sum("n").over(W.partitionBy("SITE"))).filter(F.col("__site") >= MIN_SAMPLES)
+    usable = per_site.select("SITE", "year_start", "year_end")
+    return keep_matching(dated, usable, ["SITE", "year_start", "year_end"]).drop("year_start", "year_end")
 
 
 def clean_samples(samples: DataFrame) -> DataFrame:

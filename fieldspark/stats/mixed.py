@@ -185,10 +185,11 @@ class MixedFit:
         return spark.createDataFrame(rows, COEFFICIENTS)
 
     def summary(self) -> dict[str, float]:
-        return {
+        values = {
             "aic": self.aic, "deviance": self.deviance, "r2m": self.r2_marginal, "r2c": self.r2_conditional,
-            "sigma2": self.sigma2, "group_var": self.group_var, "year_var": self.year_var, "n": float(self.n),
+            "sigma2": self.sigma2, "group_var": self.group_var, "year_var": self.year_var, "n": self.n,
         }
+        return {name: float(v) for name, v in values.items()}
 
 
 class _Likelihood:
@@ -387,7 +388,7 @@ def forward_selection(
         terms = list(dict.fromkeys([*best.terms, *extra]))
         trial = source.fit(terms, start=best.theta)
         kept = best.aic - trial.aic >= threshold
-        steps.append((i, name, kept, trial.aic, trial.r2_marginal, trial.r2_conditional))
+        steps.append((i, name, bool(kept), float(trial.aic), float(trial.r2_marginal), float(trial.r2_conditional)))
         if kept:
             best = trial
     return SelectionLog(start, best, steps)

@@ -127,5 +127,5 @@ def morans_i_test(
     # guard the comparison of equal permutations against rounding
     as_large = F.count_if(F.col("i_sim") >= F.col("moran_i") - 1e-12)
     return joined.groupBy(*by, "n", "moran_i").agg(
-        ((as_large + 1) / F.lit(float(nsim + 1))).alias("p_value"), F.count(F.lit(1)).alias("nsim")
+        F.when(F.col("moran_i").isNotNull(), (as_large + 1) / F.lit(float(nsim + 1))).alias("p_value"), F.count(F.lit(1)).alias("nsim")
     )

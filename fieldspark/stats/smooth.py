@@ -76,7 +76,7 @@ def build_basis(smooth: Smooth, knots: np.ndarray) -> Basis:
     centre = knots.mean(axis=0) if m else np.zeros(2)
     gaps = knots[:, None, :] - knots[None, :, :]
     distances = np.sqrt((gaps**2).sum(axis=2)) if m else np.zeros((0, 0))
-    scale = float(distances.max()) if m > 1 else 1.0
+    scale = (float(distances.max()) if m > 1 else 0.0) or 1.0
     trend = np.column_stack([np.ones(m), (knots - centre) / scale]) if m else np.zeros((0, 3))
     energy = radial(distances / scale, smooth.kind)
     u, s, _ = np.linalg.svd(trend, full_matrices=True) if m else (np.zeros((0, 0)), np.zeros(0), None)
@@ -162,6 +162,8 @@ class SmoothFit:
 
     @property
     def aic(self) -> float:
+        if self.n == 0 or self.rss <= 0 or self.edf >= self.n:
+            return math.inf  # saturated: never preferred
         return self.n * (math.log(2 * math.pi * self.rss / self.n) + 1) + 2 * (self.edf + 1)
 
     def column(self) -> Column:
@@ -212,7 +214,7 @@ def fit_smooth(stats: SmoothStats, response: str, terms: Sequence[Term], method:
         return out
 
     def criterion(logs: np.ndarray) -> float:
-        if np.any(np.abs(logs) > 25):
+        if np.any(np.abs(logs) > 25) or n <= free:
             return 1e299
         whole = g + assemble(logs)
         try:
@@ -246,11 +248,13 @@ def fit_smooth(stats: SmoothStats, response: str, terms: Sequence[Term], method:
     full[kept] = beta * scale
     order = [place[t] for t in terms] + list(range(t_all, m))
     one = place.get(())
-    mean = float(stats.cross[one, m]) / n if one is not None else 0.0
-    spread = (yy - n * mean * mean) / (n - 1)
-    fitted_mean = float(stats.cross[one][:m] @ full) / n if one is not None else 0.0
-    residual_var = (rss - n * (mean - fitted_mean) ** 2) / (n - 1)
-    adjusted = 1 - residual_var * (n - 1) / (spread * (n - edf)) if spread > 0 and n > edf else float("nan")
+    adjusted = float("nan")
+    if n > max(edf, 1):
+        mean = float(stats.cross[one, m]) / n if one is not None else 0.0
+        fitted_mean = float(stats.cross[one][:m] @ full) / n if one is not None else 0.0
+        spread = (yy - n * mean * mean) / (n - 1)
+        residual_var = (rss - n * (mean - fitted_mean) ** 2) / (n - 1)
+        adjusted = 1 - residual_var * (n - 1) / (spread * (n - edf)) if spread > 0 else adjusted
     return SmoothFit(response, list(terms), stats.bases, full[order], np.exp(logs), edf, rss, n, method, value, adjusted)
 
 
@@ -279,11 +283,11 @@ def forward_selection_smooth(
 ) -> SelectionLog:
     """One ordered pass on AIC; the log opens with ``base`` and reports the adjusted R-squared."""
     best = start
-    steps = [(0, "base", True, start.aic, start.adjusted_r2, start.adjusted_r2)]
+    steps = [(0, "base", True, float(start.aic), float(start.adjusted_r2), float(start.adjusted_r2))]
     for i, (name, extra) in enumerate(candidates.items(), 1):
         trial = source.fit(list(dict.fromkeys([*best.terms, *extra])), "ML")
         kept = best.aic - trial.aic >= threshold
-        steps.append((i, name, kept, trial.aic, trial.adjusted_r2, trial.adjusted_r2))
+        steps.append((i, name, bool(kept), float(trial.aic), float(trial.adjusted_r2), float(trial.adjusted_r2)))
         if kept:
             best = trial
     return SelectionLog(start, best, steps)

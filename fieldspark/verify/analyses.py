@@ -173,7 +173,7 @@ def _(s: Stages) -> DataFrame:
     """SELECT p.SITE, k.knot, (1 + d / s.scale) * exp(-d / s.scale) AS value FROM (
   SELECT SITE, X, Y FROM planar_t WHERE in_nord = 1) p, (
   SELECT X, Y, row_number() OVER (ORDER BY X, Y) AS knot FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1)) k, (
-  SELECT max(sqrt((a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y))) AS scale FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1) a,
+  SELECT coalesce(nullif(max(sqrt((a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y))), 0), 1) AS scale FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1) a,
     (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1) b) s, LATERAL (SELECT sqrt((p.X - k.X) * (p.X - k.X) + (p.Y - k.Y) * (p.Y - k.Y)) AS d) g
 WHERE (SELECT count(*) FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1)) <= 15""",
 )
@@ -192,7 +192,7 @@ def _(s: Stages) -> DataFrame:
     source = smooth.SmoothSource(table, "logDB_site", terms, spatial.SMOOTHS)
     fits = [source.fit(terms, method) for method in ("ML", "REML")]
     return s.spark.createDataFrame(
-        [(f.method, float(f.aic), f.edf, f.adjusted_r2, f.n) for f in fits],
+        [(f.method, float(f.aic), float(f.edf), float(f.adjusted_r2), f.n) for f in fits],
         "method string, aic double, edf double, adjusted_r2 double, n long",
     )
 
@@ -240,7 +240,7 @@ FROM ({MORAN_SHOWN}) o JOIN (
   JOIN (SELECT site_group, sum(z * z) AS square FROM centred_t GROUP BY site_group) q ON q.site_group = a.site_group
   GROUP BY a.site_group, a.sim) r ON r.site_group = o.site_group
 GROUP BY o.site_group, o.n, o.moran_i
-UNION ALL SELECT site_group, n, moran_i, 1 / 1000e0, 999 FROM ({MORAN_SHOWN}) WHERE n = 0""",
+UNION ALL SELECT site_group, n, moran_i, NULL, 999 FROM ({MORAN_SHOWN}) WHERE n = 0""",
 )
 def _(s: Stages) -> DataFrame:
     return moran.morans_i_test(
@@ -462,7 +462,7 @@ def _(s: Stages) -> DataFrame:
 
 @query(
     "fig_snow_scatter",
-    f"SAMPLE_CODE SAMPLE_WEIGHT:d BIOMASS_PostMean:d {ENV_D} cold:b",
+    f"SAMPLE_CODE SAMPLE_WEIGHT:d BIOMASS_PostMean:d {ENV_D} cold:d",
     f"SELECT *, avg_t2m < 5 AS cold FROM (SELECT SAMPLE_CODE, SAMPLE_WEIGHT, BIOMASS_PostMean, {means(ENV)} FROM dat_t LEFT JOIN biomass_t USING (SAMPLE_CODE) LEFT JOIN predictors_t USING ({SITE3}, date) GROUP BY SAMPLE_CODE, SAMPLE_WEIGHT, BIOMASS_PostMean)",
 )
 def _(s: Stages) -> DataFrame:

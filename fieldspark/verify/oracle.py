@@ -244,7 +244,7 @@ SELECT SITE, jdate, CASE WHEN count(*) OVER w = 21 AND count(pred) OVER w = 21 T
 WINDOW w AS (PARTITION BY SITE ORDER BY jdate ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING)""",
     "peaks_t": """
 SELECT SITE, jdate AS start_day, least(jdate + 20, 365) AS end_day, roll_mean FROM rolled_t
-QUALIFY row_number() OVER (PARTITION BY SITE ORDER BY roll_mean DESC NULLS LAST, jdate) = 1""",
+QUALIFY row_number() OVER (PARTITION BY SITE ORDER BY round(roll_mean, 9) DESC NULLS LAST, jdate) = 1""",
     "peak_days_t": """
 SELECT SITE, CASE WHEN day < 1 THEN day + 365 WHEN day > 365 THEN day - 365 ELSE day END AS jdate
 FROM (SELECT SITE, unnest(generate_series(start_day - 14, end_day + 14)) AS day FROM peaks_t)""",
@@ -260,7 +260,7 @@ SELECT SITE, year, sampled_days, CASE WHEN count(*) OVER w >= 19 AND count(DB_po
 FROM day_rows_t WINDOW w AS (PARTITION BY SITE, year ORDER BY sampled_days RANGE BETWEEN CURRENT ROW AND 20 FOLLOWING)""",
     "observed_t": """
 SELECT SITE, year, sampled_days AS start_day, sampled_days + 20 AS end_day, total_3wk FROM windows_t
-QUALIFY row_number() OVER (PARTITION BY SITE, year ORDER BY total_3wk DESC NULLS LAST, sampled_days) = 1""",
+QUALIFY row_number() OVER (PARTITION BY SITE, year ORDER BY round(total_3wk, 9) DESC NULLS LAST, sampled_days) = 1""",
     "sitepeak_t": """
 SELECT s.*, log_DB_peak FROM sitetab_t s JOIN (SELECT SITE, avg(CASE WHEN total_3wk > 0 THEN ln(total_3wk / 21) END) AS log_DB_peak
   FROM observed_t GROUP BY SITE) p USING (SITE)""",

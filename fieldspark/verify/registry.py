@@ -20,7 +20,11 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, directory: str) -> DataFrame:
-        return shape_frame(self.build(Stages(spark, directory)), self.spec)
+        return self.frame(Stages(spark, directory))
+
+    def frame(self, stages: Stages) -> DataFrame:
+        """The result over given stages; sharing them between queries reuses stored tables."""
+        return shape_frame(self.build(stages), self.spec)
 
 
 REGISTRY: dict[str, Query] = {}
