@@ -110,7 +110,7 @@ class StandIn:
                 F.when(moved, k - 1).otherwise(k).alias("k"),
                 F.col("o_orderkey").cast("string").alias("SAMPLE_CODE"),
                 start.alias("START_DATE"),
-                F.date_add(start, (F.col("o_orderkey") % 10).cast("int") + 1).alias("COLL_DATE"),
+                F.date_add(start, ((F.col("o_orderkey") + lap * 3) % 10).cast("int") + 1).alias("COLL_DATE"),
                 (F.col("o_totalprice") / 10000).alias("Weight"),
             )
         )

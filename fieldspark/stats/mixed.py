@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import group_effect
-from ..sources.io import materialise
 from ..sources.schemas import COEFFICIENTS
 from .design import Term, cross_products, design_frame, term_columns, term_name
 from .linear import predict_column
@@ -55,38 +54,46 @@ class MixedStats:
 
 
 def cell_sums(frame: DataFrame, group: str, year: str, columns: Sequence[str]) -> DataFrame:
-    """Rows and column sums per group and year: the only grouped pass over the rows."""
+    """Rows and column sums per group and year."""
     return frame.groupBy(group, year).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]
     )
 
 
-def collect_stats(df: DataFrame, response: str, terms: Sequence[Term], group: str, year: str) -> MixedStats:
-    """Two passes over the rows (cross products, cell sums) and one over the group table."""
-    frame = design_frame(df, terms, [response], keep=[group, year])
-    columns = [c for c in frame.columns if c not in (group, year)]
-    cross, n = cross_products(frame, columns)
-    cells = materialise(cell_sums(frame, group, year, columns))
-    by_year = (
-        cells.groupBy(year).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).orderBy(year).limit(MAX_YEARS + 1)
-    ).collect()
-    if len(by_year) > MAX_YEARS:
+def year_levels(df: DataFrame, year: str) -> list[str]:
+    """The years that occur, as many as the calendar has (checked)."""
+    rows = df.select(year).dropna().distinct().limit(MAX_YEARS + 1).collect()
+    if len(rows) > MAX_YEARS:
         raise ValueError(f"more than {MAX_YEARS} levels of {year}")
-    years = [r[year] for r in by_year]
-    wide = cells.groupBy(group).agg(
-        F.sum("n").alias("rows"),
-        *[F.sum(F.when(F.col(year) == y, F.col("n")).otherwise(F.lit(0))).cast("double").alias(f"k{i}") for i, y in enumerate(years)],
-        *[F.sum(c).alias(c) for c in columns],
+    return sorted(r[0] for r in rows)
+
+
+def collect_stats(
+    df: DataFrame, response: str, terms: Sequence[Term], group: str, year: str, years: Sequence[str] | None = None
+) -> MixedStats:
+    """Two jobs: cross products of year marks, terms and response, and their sums per group folded into A(l).
+
+    Both combine partially before the shuffle, so a group with a third of all
+    rows costs no more than any other.
+    """
+    levels = list(years) if years is not None else year_levels(df, year)
+    rows = design_frame(df, terms, [response], keep=[group, year])
+    columns = [c for c in rows.columns if c not in (group, year)]
+    marks = [f"k{i}" for i in range(len(levels))]
+    frame = rows.select(
+        group, *[(F.col(year) == y).cast("double").alias(m) for m, y in zip(marks, levels, strict=True)], *columns
     )
+    both, n = cross_products(frame.drop(group), [*marks, *columns])
+    y = len(levels)
     low, high = -math.log(max(n, 2)) - 12.0, 10.0
     nodes = chebyshev_nodes(low, high)
-    sums, logdet, groups = group_pass(wide, [f"k{i}" for i in range(len(years))] + columns, nodes)
+    per_group = frame.groupBy(group).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in [*marks, *columns]]
+    )
+    sums, logdet, groups = group_pass(per_group, [*marks, *columns], nodes)
     return MixedStats(
-        list(terms), response, n, groups, cross, years,
-        np.array([float(r["n"]) for r in by_year]),
-        np.array([[r[c] for c in columns] for r in by_year], dtype=float).reshape(len(years), len(columns)),
-        nodes, sums, logdet,
-    )
+        list(terms), response, n, groups, both[y:, y:], levels, np.diag(both)[:y].copy(), both[:y, y:], nodes, sums, logdet
+    )
 
 
 def chebyshev_nodes(low: float, high: float, digits: float = 11.5) -> np.ndarray:
@@ -343,6 +350,7 @@ class StatsSource:
         self.always = {c for c in (response, group, year) if nulls[c]}
         self.nullable = {c for c in used if nulls[c]}
         self.common = na_policy == "common"
+        self.years = year_levels(df, year)
         self.cache: dict[frozenset, MixedStats] = {}
 
     def stats(self, terms: Sequence[Term]) -> MixedStats:
@@ -350,7 +358,7 @@ class StatsSource:
         if key not in self.cache:
             possible = [t for t in self.terms if not (set(t) & self.nullable) - key]
             rows = self.df.dropna(subset=sorted(key)) if key else self.df
-            self.cache[key] = collect_stats(rows, self.response, possible, self.group, self.year)
+            self.cache[key] = collect_stats(rows, self.response, possible, self.group, self.year, self.years)
         return self.cache[key]
 
     def fit(self, terms: Sequence[Term], reml: bool = False, start: tuple[float, float] | None = None) -> MixedFit:

@@ -106,7 +106,7 @@ FROM (SELECT s_suppkey AS k FROM supplier)""",
     "sites_t": "SELECT SITE, SITE_TYPE, SITE_LATITUDE, SITE_LONGITUDE, HFI, HII, elevation FROM ksites",
     "korders": """
 SELECT CASE WHEN (k0 % 20 = 15 AND lap % 40 <> 0) OR (k0 % 20 <> 15 AND k0 % 10 = 5 AND lap % 12 <> 0) THEN k0 - 1 ELSE k0 END AS k,
-  o_orderkey::VARCHAR AS SAMPLE_CODE, start_day AS START_DATE, (start_day + (o_orderkey % 10)::INTEGER + 1)::DATE AS COLL_DATE,
+  o_orderkey::VARCHAR AS SAMPLE_CODE, start_day AS START_DATE, (start_day + ((o_orderkey + lap * 3) % 10)::INTEGER + 1)::DATE AS COLL_DATE,
   o_totalprice / 10000e0 AS Weight
 FROM (SELECT *, (make_date(year(day), 4, 1) + ((dayofyear(day) - 1) * 210 // 366)::INTEGER)::DATE AS start_day
   FROM (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS day, o_orderkey % n AS k0, o_orderkey // n AS lap
