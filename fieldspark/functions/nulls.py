@@ -22,7 +22,11 @@ def strict(agg: Callable[[Column], Column], value: Column, over: WindowSpec | No
 
 
 def strict_mean(value: Column, over: WindowSpec | None = None) -> Column:
-    return strict(F.avg, value, over)
+    """Mean, or null when any value is null; one sum and two counts (the row count is shared)."""
+    if over is not None:
+        return strict(F.avg, value, over)
+    rows = F.count(F.lit(1))
+    return F.when(F.count(value) == rows, F.sum(value.cast("double")) / rows)
 
 
 def strict_sum(value: Column, over: WindowSpec | None = None) -> Column:

@@ -12,39 +12,58 @@ from ..functions.geo import cell_centre
 from .projection import shared_names
 
 
-def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def equi_join(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner", nullable: Sequence[str] | None = None
+) -> DataFrame:
     """Equi-join in which a null key matches a null key.
 
-    Spark still plans it as a hash or sort-merge join, so adaptive skew
-    splitting applies to hot keys.
+    ``nullable`` names the keys that can be null (default: all). The others
+    compare plainly, which halves the width of the join and sort keys. Either
+    way Spark plans a hash or sort-merge join, so it may broadcast a side it
+    knows to be small and adaptively split hot keys.
     """
     other = b.withColumnsRenamed({k: f"__{k}" for k in keys})
-    condition: Column = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return a.join(other, condition, how).drop(*[f"__{k}" for k in keys])
-
-
-def natural_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: Sequence[str] | None = None) -> DataFrame:
+    may_be_null = set(keys if nullable is None else nullable)
+    matches = [
+        F.col(k).eqNullSafe(F.col(f"__{k}")) if k in may_be_null else F.col(k) == F.col(f"__{k}") for k in keys
+    ]
+    return a.join(other, reduce(Column.__and__, matches), how).drop(*[f"__{k}" for k in keys])
+
+
+def natural_join(
+    a: DataFrame,
+    b: DataFrame,
+    how: str = "inner",
+    keys: Sequence[str] | None = None,
+    nullable: Sequence[str] | None = None,
+) -> DataFrame:
     """Join on all shared columns; pass ``keys`` to assert which ones they are."""
     shared = shared_names(a, b)
     if not shared:
         raise ValueError("the frames share no column")
     if keys is not None and set(keys) != set(shared):
         raise ValueError(f"expected the keys {sorted(keys)}, found {sorted(shared)}")
-    return null_safe_join(a, b, shared, how)
+    return equi_join(a, b, shared, how, nullable)
 
 
-def suffix_join(a: DataFrame, b: DataFrame, keys: Sequence[str], suffix: str, how: str = "left") -> DataFrame:
+def suffix_join(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], suffix: str, how: str = "left", nullable: Sequence[str] | None = None
+) -> DataFrame:
     """Equi-join; columns of ``b`` that also occur in ``a`` get the suffix."""
     clash = [c for c in shared_names(b, a) if c not in keys]
-    return null_safe_join(a, b.withColumnsRenamed({c: c + suffix for c in clash}), keys, how)
+    return equi_join(a, b.withColumnsRenamed({c: c + suffix for c in clash}), keys, how, nullable)
 
 
-def keep_matching(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    return null_safe_join(a, b, keys or shared_names(a, b), "left_semi")
+def keep_matching(
+    a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, nullable: Sequence[str] | None = None
+) -> DataFrame:
+    return equi_join(a, b, keys or shared_names(a, b), "left_semi", nullable)
 
 
-def drop_matching_rows(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    return null_safe_join(a, b, keys or shared_names(a, b), "left_anti")
+def drop_matching_rows(
+    a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, nullable: Sequence[str] | None = None
+) -> DataFrame:
+    return equi_join(a, b, keys or shared_names(a, b), "left_anti", nullable)
 
 
 def expand_days(df: DataFrame, column: str = "jdate", last: int = 365) -> DataFrame:
@@ -52,9 +71,9 @@ def expand_days(df: DataFrame, column: str = "jdate", last: int = 365) -> DataFr
     return df.withColumn(column, F.explode(F.sequence(F.lit(1), F.lit(last))))
 
 
-def enrich(df: DataFrame, *dimensions: DataFrame) -> DataFrame:
+def enrich(df: DataFrame, *dimensions: DataFrame, nullable: Sequence[str] | None = None) -> DataFrame:
     """Natural left joins with one or more dimension tables; their size decides the strategy."""
-    return reduce(lambda left, dim: natural_join(left, dim, "left"), dimensions, df)
+    return reduce(lambda left, dim: natural_join(left, dim, "left", nullable=nullable), dimensions, df)
 
 
 def grid_lookup(
@@ -68,7 +87,7 @@ def grid_lookup(
 
 def group_effect(df: DataFrame, effects: DataFrame, key: str, effect: str, missing: str = "error") -> DataFrame:
     """Attach a per-group effect; an unknown group raises at run time or counts as 0."""
-    joined = null_safe_join(df, effects.select(key, effect), [key], "left")
+    joined = equi_join(df, effects.select(key, effect), [key], "left")
     if missing == "zero":
         fill: Column = F.lit(0.0)
     elif missing == "error":
@@ -127,7 +146,7 @@ def distance_band_pairs(
         F.floor(F.col(y) / F.lit(radius)).alias("__cy"),
     )
     load = left.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_load)).cast("int").alias("__slices"))
-    left = null_safe_join(left, load, cell, "left").withColumn(
+    left = equi_join(left, load, cell, "left").withColumn(
         "__slice", F.pmod(F.xxhash64("i"), F.col("__slices")).cast("int")
     )
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -144,13 +163,13 @@ def distance_band_pairs(
         .withColumn("__dy", F.explode(steps))
         .withColumns({"__cx": F.col("__x0") + F.col("__dx"), "__cy": F.col("__y0") + F.col("__dy")})
     )
-    right = null_safe_join(right, load, cell, "inner").withColumn(
+    right = equi_join(right, load, cell, "inner").withColumn(
         "__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
     )
     right = right.drop("__slices", "__x0", "__y0", "__dx", "__dy")
     near = F.pow(F.col("__xi") - F.col("__xj"), 2) + F.pow(F.col("__yi") - F.col("__yj"), 2) <= radius * radius
     return (
-        null_safe_join(left.drop("__slices"), right, [*cell, "__slice"], "inner")
+        equi_join(left.drop("__slices"), right, [*cell, "__slice"], "inner")
         .filter(near & ~F.col("i").eqNullSafe(F.col("j")))
         .select(*by, "i", "j")
     )

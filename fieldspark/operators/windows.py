@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.nulls import strict_mean, strict_sum
-from .joins import null_safe_join
+from .joins import equi_join
 
 GROUP_LIMIT = 1000
 
@@ -26,20 +26,20 @@ def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFram
 
 
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    return null_safe_join(df, group_sizes(df, keys, name), keys, "left")
+    return equi_join(df, group_sizes(df, keys, name), keys, "left")
 
 
 def filter_group_size(df: DataFrame, keys: Sequence[str], low: int = 1, high: int | None = None) -> DataFrame:
     """Rows whose group has between ``low`` and ``high`` rows."""
     n = F.col("__n")
     fits = (n >= low) if high is None else ((n >= low) & (n <= high))
-    return null_safe_join(df, group_sizes(df, keys, "__n").filter(fits).drop("__n"), keys, "left_semi")
+    return equi_join(df, group_sizes(df, keys, "__n").filter(fits).drop("__n"), keys, "left_semi")
 
 
 def drop_isolated(df: DataFrame, *groupings: Sequence[str]) -> DataFrame:
     """Drop the rows that are alone in *every* one of the groupings."""
     cells = linked_cells(df, *groupings)
-    return null_safe_join(df, cells, [c for c in cells.columns if c != "n"], "left_semi")
+    return equi_join(df, cells, [c for c in cells.columns if c != "n"], "left_semi")
 
 
 def linked_cells(df: DataFrame, *groupings: Sequence[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def linked_cells(df: DataFrame, *groupings: Sequence[str]) -> DataFrame:
 
 def with_group_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     means = df.groupBy(*keys).agg(strict_mean(F.col(value)).alias(name))
-    return null_safe_join(df, means, keys, "left")
+    return equi_join(df, means, keys, "left")
 
 
 def day_gaps(days: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:

@@ -50,7 +50,7 @@ def climatology(predictors: DataFrame, variables: Sequence[str] = ENV_VARIABLES)
 
 def seasonal_climate(env: DataFrame, samples: DataFrame) -> DataFrame:
     """Mean climate of the sampled sites on the shifted 365-day clock, with harmonics."""
-    sampled = keep_matching(env, samples.select("SITE"), ["SITE"])
+    sampled = keep_matching(env, samples.select("SITE").distinct(), ["SITE"], [])
     daily = mean_by(
         sampled.withColumn("jdate", F.dayofyear("date")).filter(F.col("jdate") != 366),
         [*SITE_KEYS, "jdate"],
@@ -97,7 +97,7 @@ def sampled_days(samples: DataFrame) -> DataFrame:
 
 def residual_cutoffs(residuals: DataFrame, samples: DataFrame) -> DataFrame:
     """Extreme residuals on sampled days: the values behind the fixed cut-offs."""
-    return natural_join(residuals, sampled_days(samples), "inner", ["SITE", "jdate"]).agg(
+    return natural_join(residuals, sampled_days(samples), "inner", ["SITE", "jdate"], []).agg(
         F.min("temp_res").alias("min_temp"), F.max("snow_res").alias("max_snow")
     )
 

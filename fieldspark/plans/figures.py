@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import seasonal_day
 from ..functions.text import level_index
 from ..operators.aggregates import mean_by
-from ..operators.joins import natural_join, null_safe_join
+from ..operators.joins import natural_join, equi_join
 from ..operators.projection import filter_multiple_of
 from ..operators.reshape import to_long
 from ..operators.sampling import sample_rows
@@ -28,8 +28,8 @@ def climate_curves(climate: DataFrame) -> DataFrame:
 
 def snow_scatter(sample_days: DataFrame, biomass: DataFrame, predictors: DataFrame) -> DataFrame:
     """Mean weather per sample with its biomass and a flag for cold samples."""
-    weighed = natural_join(sample_days, biomass, "left", ["SAMPLE_CODE"])
-    weather = natural_join(weighed, predictors, "left", [*SITE_KEYS, "date"])
+    weighed = natural_join(sample_days, biomass, "left", ["SAMPLE_CODE"], [])
+    weather = natural_join(weighed, predictors, "left", [*SITE_KEYS, "date"], [])
     means = mean_by(weather, ["SAMPLE_CODE", "SAMPLE_WEIGHT", "BIOMASS_PostMean"], ENV_VARIABLES)
     return means.withColumn("cold", F.col("avg_t2m") < COLD_BELOW)
 
@@ -52,7 +52,7 @@ def model_against_climate(zone_days: DataFrame, models: FittedModels, seasonal:
     fitted = predict(zone_days.filter(F.col("CZ") == zone), models, "{}")
     fitted = fitted.select(F.col("jdate").cast("int").alias("jdate"), F.col("avg_t2m").alias("predtemp"))
     measured = filter_multiple_of(seasonal.filter(F.col("SITE") == site), "jdate", 25)
-    return null_safe_join(fitted, measured.select(F.col("jdate").cast("int").alias("jdate"), F.col("avg_t2m").alias("mestemp")), ["jdate"], "left")
+    return equi_join(fitted, measured.select(F.col("jdate").cast("int").alias("jdate"), F.col("avg_t2m").alias("mestemp")), ["jdate"], "left")
 
 
 def climate_against_year(seasonal: DataFrame, env: DataFrame, site: str, year: int) -> DataFrame:
@@ -60,4 +60,4 @@ def climate_against_year(seasonal: DataFrame, env: DataFrame, site: str, year: i
     measured = filter_multiple_of(seasonal.filter(F.col("SITE") == site), "jdate", 5)
     measured = measured.select(F.col("jdate").cast("int").alias("jdate"), F.col("avg_t2m").alias("mestemp"))
     daily = env.filter((F.col("SITE") == site) & (F.year("date") == year)).select(F.dayofyear("date").alias("jdate"), "avg_t2m")
-    return null_safe_join(measured, filter_multiple_of(daily, "jdate", 25), ["jdate"], "left")
+    return equi_join(measured, filter_multiple_of(daily, "jdate", 25), ["jdate"], "left")

@@ -12,7 +12,7 @@ from ..functions.draws import draw_key, unit_draw
 from ..functions.nulls import ratio, safe_log
 from ..functions.text import first_match, remove_first
 from ..operators.aggregates import log_ratio_of_sums, mean_by, standardise
-from ..operators.joins import natural_join, null_safe_join
+from ..operators.joins import natural_join, equi_join
 from ..operators.sampling import sample_per_stratum
 from ..operators.windows import filter_group_size
 from ..sources.io import materialise
@@ -73,7 +73,7 @@ def biomass_rates(scaled: DataFrame, biomass: DataFrame, seed: int = 1) -> DataF
     least = biomass.agg(F.min("BIOMASS_PostMean")).scalar()
     drawn = F.lit(DRAW_LOW) + (F.col("__least") - DRAW_LOW) * unit_draw(draw_key(seed, F.col("SAMPLE_CODE")))
     return (
-        natural_join(scaled, biomass, "left", ["SAMPLE_CODE"])
+        natural_join(scaled, biomass, "left", ["SAMPLE_CODE"], [])
         .filter(F.col("n_days") >= MIN_DAYS)
         .withColumn("__least", least)
         .withColumn("BIOMASS_low_included", F.when(F.col("DB_sample") == 0, drawn).otherwise(F.col("BIOMASS_PostMean")))
@@ -94,7 +94,7 @@ def model_samples(rates: DataFrame, residuals: DataFrame) -> DataFrame:
         }
     )
     days = residuals.withColumn("jdate", F.col("jdate").cast("double"))
-    joined = null_safe_join(base, days, [*SITE_KEYS, "jdate"], "left")
+    joined = equi_join(base, days, [*SITE_KEYS, "jdate"], "left", [])
     return standardise(joined.withColumns(harmonics(F.col("jdate"))), RESIDUALS)
 
 
@@ -118,7 +118,7 @@ def site_table(rates: DataFrame, siteclim: DataFrame) -> DataFrame:
     )
     logs = sums.agg(log_ratio_of_sums(F.col("BIOMASS_low_included"), F.col("n_days")).alias("logDB_site"))
     country = first_match(F.col("SITE_TYPE"), COUNTRY_RULES, remove_first(F.col("SITE"), PAIR_SUFFIX))
-    return null_safe_join(logs, siteclim, ["SITE"], "left").withColumns({"country": country, "cluster": cluster_label()})
+    return equi_join(logs, siteclim, ["SITE"], "left", []).withColumns({"country": country, "cluster": cluster_label()})
 
 
 def kept_hierarchical(samples: DataFrame, min_samples: int = MIN_HIERARCHICAL_SAMPLES, seed: int = 1) -> DataFrame:
@@ -133,7 +133,7 @@ def drop_hierarchical(df: DataFrame, kept: DataFrame) -> DataFrame:
     # one row per hierarchical type (two), hence safe to broadcast
     marks = F.broadcast(kept.select("SITE", F.lit(True).alias("__kept")))
     ordinary = ~F.col("SITE_TYPE").isin(HIERARCHICAL)
-    return null_safe_join(df, marks, ["SITE"], "left").filter(ordinary | F.col("__kept")).drop("__kept")
+    return equi_join(df, marks, ["SITE"], "left", []).filter(ordinary | F.col("__kept")).drop("__kept")
 
 
 @dataclass

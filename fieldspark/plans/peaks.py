@@ -50,13 +50,13 @@ def peak_days(peaks: DataFrame) -> DataFrame:
 
 def peak_sampled_years(samples: DataFrame, peaks: DataFrame) -> DataFrame:
     """Site-years with at least one sample near the predicted peak."""
-    near = keep_matching(samples.select("SITE", "year", "jdate"), peak_days(peaks), ["SITE", "jdate"])
+    near = keep_matching(samples.select("SITE", "year", "jdate"), peak_days(peaks), ["SITE", "jdate"], [])
     return near.select("SITE", "year").distinct()
 
 
 def sampled_day_rows(samples: DataFrame, site_years: DataFrame, wrap: bool = False) -> DataFrame:
     """One row per sample and exposed day of year, for the given site-years."""
-    kept = keep_matching(samples, site_years, ["SITE", "year"])
+    kept = keep_matching(samples, site_years, ["SITE", "year"], [])
     days = day_number_span(F.col("START_DATE"), F.col("COLL_DATE"), wrap)
     return kept.select("SITE", "year", "DB_post_sample", F.explode(days).alias("sampled_days"))
 
@@ -77,4 +77,4 @@ def observed_peaks(day_rows: DataFrame) -> DataFrame:
 def site_peaks(sites: DataFrame, peaks: DataFrame) -> DataFrame:
     """Site table joined with the mean log daily biomass of its observed peaks."""
     logs = peaks.groupBy("SITE").agg(mean_of_log(ratio(F.col("total_3wk"), F.lit(PEAK_DAYS))).alias("log_DB_peak"))
-    return natural_join(sites, logs, "inner", ["SITE"])
+    return natural_join(sites, logs, "inner", ["SITE"], [])

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.calendar import date_span, year_text
-from ..functions.nulls import ratio, strict_mean, strict_median
+from ..functions.calendar import date_span, middle_day, year_text
+from ..functions.nulls import ratio, strict_mean
 from ..functions.text import paste
 from ..operators.aggregates import standardise
-from ..operators.joins import drop_matching_rows, enrich, keep_matching, natural_join, null_safe_join, suffix_join
+from ..operators.joins import drop_matching_rows, enrich, keep_matching, natural_join, equi_join, suffix_join
 from ..operators.projection import across, shared_names, truncate_linked
 from ..operators.reshape import stack_rows
 from ..operators.windows import day_chunks, linked_cells
+from ..sources.io import materialise
 from ..sources.schemas import ENV_VARIABLES, SITE_KEYS
 
+from .climate import clean_predictors
+
 # Fixed values of the analysis.
 EXCLUDED_SITE = "NEGreenland"
 MIN_SAMPLES = 4
@@ -41,7 +44,7 @@ def keep_usable(samples: DataFrame) -> DataFrame:
     # still a handful of cells per site: one per pair of start and end year
     per_site = cells.withColumn("__site", F.sum("n").over(W.partitionBy("SITE"))).filter(F.col("__site") >= MIN_SAMPLES)
     usable = per_site.select("SITE", "year_start", "year_end")
-    return keep_matching(dated, usable, ["SITE", "year_start", "year_end"]).drop("year_start", "year_end")
+    return keep_matching(dated, usable, ["SITE", "year_start", "year_end"], []).drop("year_start", "year_end")
 
 
 def clean_samples(samples: DataFrame) -> DataFrame:
@@ -64,9 +67,9 @@ def unsampled_chunks(predictors: DataFrame, sample_days: DataFrame) -> DataFrame
     """
     types = sample_days.select("SITE", "SITE_TYPE").distinct()
     active = sample_days.select("SITE", year_text(F.col("COLL_DATE")).alias("year")).distinct()
-    typed = natural_join(predictors, types, "left", ["SITE"])
-    free = drop_matching_rows(typed, sample_days, [*SITE_KEYS, "date", "SITE_TYPE"])
-    free = keep_matching(free.withColumn("year", year_text(F.col("date"))), active, ["SITE", "year"])
+    typed = natural_join(predictors, types, "left", ["SITE"], [])
+    free = drop_matching_rows(typed, sample_days, [*SITE_KEYS, "date", "SITE_TYPE"], ["SITE_TYPE"])
+    free = keep_matching(free.withColumn("year", year_text(F.col("date"))), active, ["SITE", "year"], [])
     return day_chunks(free, ["SITE"], "date", CHUNK_DAYS).withColumn(
         "SAMPLE_CODE", paste(F.col("SITE"), F.col("island"), F.col("chunk"))
     )
@@ -108,14 +111,17 @@ def weather_anomalies(sample_days: DataFrame, env: DataFrame, climate: DataFrame
     """Mean anomaly and climatology over every sample period.
 
     Anomalies subtract the climatology (cleaned rows) from the *raw* daily weather.
+    The days of a sample are its interval, so the median day follows from the
+    two dates and every aggregate stays a plain sum or count.
     """
     dated = sample_days.withColumn("jdate", F.dayofyear("date"))
-    weather = null_safe_join(dated, env.select(*SITE_KEYS, "date", *ENV_VARIABLES), [*SITE_KEYS, "date"], "left")
-    both = suffix_join(weather, climate, [*SITE_KEYS, "jdate"], "_clim")
+    # keys are null only in SAMPLE_WEIGHT and site_sde, which group but never join
+    weather = equi_join(dated, env.select(*SITE_KEYS, "date", *ENV_VARIABLES), [*SITE_KEYS, "date"], "left", [])
+    both = suffix_join(weather, climate, [*SITE_KEYS, "jdate"], "_clim", nullable=[])
     both = both.withColumns({f"{v}_anom": F.col(v) - F.col(f"{v}_clim") for v in ENV_VARIABLES})
     return both.groupBy(*PERIOD_KEYS).agg(
-        *across(PERIOD_MEANS, strict_mean), strict_median(F.col("jdate")).alias("jdate")
-    )
+        *across(PERIOD_MEANS, strict_mean)
+    ).withColumn("jdate", middle_day(F.col("START_DATE"), F.col("COLL_DATE")))
 
 
 def footprint(covariates: DataFrame) -> DataFrame:
@@ -128,7 +134,7 @@ def footprint(covariates: DataFrame) -> DataFrame:
 
 def enrich_sites(periods: DataFrame, covariates: DataFrame, elevations: DataFrame) -> DataFrame:
     """Add footprint indices and elevation from the two site tables."""
-    return enrich(periods, footprint(covariates), elevations.withColumnRenamed("altitude", "elevation"))
+    return enrich(periods, footprint(covariates), elevations.withColumnRenamed("altitude", "elevation"), nullable=[])
 
 
 def truncate_temperature(samples: DataFrame) -> DataFrame:
@@ -140,9 +146,13 @@ def scale_samples(truncated: DataFrame) -> DataFrame:
 
 
 def compile_samples(
-    samples: DataFrame, env: DataFrame, covariates: DataFrame, elevations: DataFrame, climate: DataFrame, predictors: DataFrame
+    samples: DataFrame, env: DataFrame, covariates: DataFrame, elevations: DataFrame, climate: DataFrame
 ) -> DataFrame:
-    """Raw samples to the unscaled sample table (truncated temperatures)."""
-    days = clean_samples(samples)
-    stacked = with_imputed(days, impute_zero_weeks(predictors, days))
+    """Raw samples to the unscaled sample table (truncated temperatures).
+
+    ``env`` and ``climate`` should be stored tables, as they are read several
+    times; the sample days, needed four times, are stored here.
+    """
+    days = materialise(clean_samples(samples))
+    stacked = with_imputed(days, impute_zero_weeks(clean_predictors(env), days))
     return truncate_temperature(enrich_sites(weather_anomalies(stacked, env, climate), covariates, elevations))

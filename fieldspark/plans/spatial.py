@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import mercator_x, mercator_y
-from ..operators.joins import null_safe_join
+from ..operators.joins import equi_join
 from ..operators.reshape import split_column, to_wide
 from ..operators.windows import filter_group_size
 from ..sources.io import materialise
@@ -52,8 +52,8 @@ def planar_sites(sites: DataFrame) -> DataFrame:
 
 def pair_table(sites: DataFrame, peaks: DataFrame) -> DataFrame:
     """Natural and urban values side by side for complete site pairs."""
-    both = null_safe_join(
-        sites.select("SITE", F.col("logDB_site").alias("log_DB_site")), peaks.select("SITE", "log_DB_peak"), ["SITE"], "left"
+    both = equi_join(
+        sites.select("SITE", F.col("logDB_site").alias("log_DB_site")), peaks.select("SITE", "log_DB_peak"), ["SITE"], "left", []
     )
     named = split_column(both, "SITE", ["SITEPAIR", "NATURB"]).filter(F.col("NATURB").isNotNull())
     pairs = filter_group_size(named, ["SITEPAIR"], low=2, high=2)

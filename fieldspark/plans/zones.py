@@ -47,7 +47,7 @@ def zone_latitudes(samples: DataFrame, zones: DataFrame) -> DataFrame:
     """Mean absolute latitude per zone, weighted by samples."""
     named = zones.withColumnRenamed("Site", "SITE")
     return (
-        natural_join(samples, named, "left", ["SITE"])
+        natural_join(samples, named, "left", ["SITE"], [])
         .groupBy("CZ")
         .agg(F.avg(F.abs("SITE_LATITUDE") / 100).alias("lat"))
     )

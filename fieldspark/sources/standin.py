@@ -132,7 +132,9 @@ class StandIn:
             .agg(F.sum("l_quantity").alias("q"))
         )
         days = F.sequence(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
-        calendar = self._keyed_sites.select(
+        # few site rows become thousands of days each: spread the sites over all cores first
+        width = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        calendar = self._keyed_sites.repartition(width, "k").select(
             "k", "SITE", "SITE_LATITUDE", "SITE_LONGITUDE", F.explode(days).alias("date")
         )
         lat = F.col("SITE_LATITUDE")

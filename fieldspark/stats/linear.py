@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
-from ..operators.joins import null_safe_join
+from ..operators.joins import equi_join
 from ..sources.schemas import COEFFICIENTS
 from .design import Gram, Term, gram, term_column, term_name, terms_product
 from .solve import independent_columns
@@ -130,7 +130,7 @@ def regression_residuals(df: DataFrame, y: str, x: str, name: str, by: Sequence[
     """Residuals of a simple regression, per group, without leaving Spark."""
     fit = simple_regression(df, y, x, by).select(*by, F.col("intercept").alias("__a"), F.col("slope").alias("__b"))
     if by:
-        joined = null_safe_join(df, fit, list(by), "left")
+        joined = equi_join(df, fit, list(by), "left")
     else:
         row = fit.select(F.struct("__a", "__b").alias("fit")).scalar()
         joined = df.withColumn("__fit", row).withColumns({"__a": F.col("__fit.__a"), "__b": F.col("__fit.__b")}).drop("__fit")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_key
 from ..functions.nulls import ratio
-from ..operators.joins import distance_band_pairs, null_safe_join
+from ..operators.joins import distance_band_pairs, equi_join
 from ..operators.sampling import hashed_rank
 
 
@@ -26,7 +26,7 @@ def spatial_weights(points: DataFrame, key: str, x: str, y: str, radius: float,
     """Edges (i, j, w): row-standardised neighbours within the radius; isolated points have no row."""
     edges = distance_band_pairs(points, key, x, y, radius, by)
     degree = edges.groupBy(*by, "i").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
-    return null_safe_join(edges, degree, [*by, "i"], "left").select(*by, "i", "j", "w")
+    return equi_join(edges, degree, [*by, "i"], "left").select(*by, "i", "j", "w")
 
 
 def _positions(points: DataFrame, x: str, y: str, by: Sequence[str], radius: float) -> tuple[DataFrame, DataFrame]:
@@ -54,24 +54,24 @@ def _statistic(
     )
     sizes = spots.select(*by, F.col("spot").alias("b"), "size")
     degree = (
-        null_safe_join(near, sizes, [*by, "b"], "inner")
+        equi_join(near, sizes, [*by, "b"], "inner")
         .groupBy(*by, F.col("a").alias("spot"))
         .agg((F.sum("size") - 1).alias("c"))
         .filter(F.col("c") > 0)
     )
     neighbour = sums.select(*by, *run, F.col("spot").alias("b"), F.col("s").alias("sb"))
     lag = (
-        null_safe_join(near, neighbour, [*by, "b"], "inner")
+        equi_join(near, neighbour, [*by, "b"], "inner")
         .groupBy(*by, *run, F.col("a").alias("spot"))
         .agg(F.sum("sb").alias("lag"))
     )
-    joined = null_safe_join(null_safe_join(sums, degree, [*by, "spot"], "left"), lag, [*by, *run, "spot"], "left")
+    joined = equi_join(equi_join(sums, degree, [*by, "spot"], "left"), lag, [*by, *run, "spot"], "left")
     part = (F.col("s") * F.col("lag") - F.col("q")) / F.col("c")
-    linked = null_safe_join(spots.select(*by, "spot", "size"), degree, [*by, "spot"], "inner")
+    linked = equi_join(spots.select(*by, "spot", "size"), degree, [*by, "spot"], "inner")
     weight = linked.groupBy(*by).agg(F.sum("size").alias("n"))
     totals = joined.groupBy(*by, *run).agg(F.sum(F.coalesce(part, F.lit(0.0))).alias("top"), F.sum("q").alias("square"))
     if by:
-        out = null_safe_join(totals, weight, by, "left")
+        out = equi_join(totals, weight, by, "left")
     else:
         out = totals.withColumn("n", weight.scalar())
     return out.select(*by, *run, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, ratio(F.col("top"), F.col("square"))).alias("moran_i"))
@@ -80,7 +80,7 @@ def _statistic(
 def _centred(points: DataFrame, value: str, x: str, y: str, by: Sequence[str], key: str) -> DataFrame:
     place = F.concat_ws(":", F.hex(F.col(x).cast("string")), F.hex(F.col(y).cast("string")))
     means = points.groupBy(*by).agg(F.avg(value).alias("__mean"))
-    joined = null_safe_join(points, means, list(by), "left") if by else points.withColumn("__mean", means.scalar())
+    joined = equi_join(points, means, list(by), "left") if by else points.withColumn("__mean", means.scalar())
     return joined.select(*by, F.col(key).alias("key"), place.alias("spot"), (F.col(value) - F.col("__mean")).alias("z"))
 
 
@@ -105,7 +105,7 @@ def permutations(centred: DataFrame, by: Sequence[str], nsim: int, seed: int) ->
     dealt = hashed_rank(
         runs.withColumn("__d", draw_key(seed, F.col("sim"), F.col("key"))), [*by, "sim"], "__d", ["key"], "r"
     ).select(*by, "sim", "r", "z")
-    return null_safe_join(dealt, fixed, [*by, "r"], "inner").select(*by, "sim", "spot", "z")
+    return equi_join(dealt, fixed, [*by, "r"], "inner").select(*by, "sim", "spot", "z")
 
 
 def morans_i_test(
@@ -120,7 +120,7 @@ def morans_i_test(
     runs = _statistic(permutations(centred, by, nsim, seed), spots, near, by, ["sim"])
     runs = runs.withColumnRenamed("moran_i", "i_sim").drop("n")
     joined = (
-        null_safe_join(runs, observed, by, "inner")
+        equi_join(runs, observed, by, "inner")
         if by
         else runs.withColumn("__o", observed.select(F.struct("n", "moran_i")).scalar()).select("*", "__o.*").drop("__o")
     )

@@ -211,7 +211,7 @@ def _(s: Stages) -> DataFrame:
 )
 def _(s: Stages) -> DataFrame:
     weather = s.env.select(*SITE_KEYS, F.col("date").alias("START_DATE"), "avg_t2m")
-    return jn.null_safe_join(s.samples, weather, [*SITE_KEYS, "START_DATE"], "left")
+    return jn.equi_join(s.samples, weather, [*SITE_KEYS, "START_DATE"], "left")
 
 
 @query(
@@ -266,7 +266,7 @@ def _(s: Stages) -> DataFrame:
     "SELECT d.SITE, dayofyear(d.date) AS jdate, count(*) AS n, avg(e.tot_tp) AS tp FROM dat_t d JOIN env_t e ON d.SITE = e.SITE AND d.date = e.date GROUP BY ALL",
 )
 def _(s: Stages) -> DataFrame:
-    joined = jn.null_safe_join(s.sample_days, s.env.select("SITE", "date", "tot_tp"), ["SITE", "date"], "inner")
+    joined = jn.equi_join(s.sample_days, s.env.select("SITE", "date", "tot_tp"), ["SITE", "date"], "inner")
     return joined.groupBy("SITE", F.dayofyear("date").alias("jdate")).agg(F.count(F.lit(1)).alias("n"), F.avg("tot_tp").alias("tp"))
 
 

@@ -39,9 +39,19 @@ class Stages(StandIn):
         """Sample days, needed four times by the imputation."""
         return materialise(self.sample_days)
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """The daily weather table as stored input of the sample stages, which read it four times."""
+        return materialise(self.env)
+
+    @cached_property
+    def stored_climatology(self) -> DataFrame:
+        """The climatology as written for later scripts: read by the anomalies and the site table."""
+        return materialise(climate.climatology(climate.clean_predictors(self.daily)))
+
     @cached_property
     def imputed(self) -> DataFrame:
-        return samples.impute_zero_weeks(self.predictors, self.stored_days)
+        return samples.impute_zero_weeks(climate.clean_predictors(self.daily), self.stored_days)
 
     @cached_property
     def stacked(self) -> DataFrame:
@@ -49,7 +59,7 @@ class Stages(StandIn):
 
     @cached_property
     def periods(self) -> DataFrame:
-        return samples.weather_anomalies(self.stacked, self.env, self.climatology)
+        return samples.weather_anomalies(self.stacked, self.daily, self.stored_climatology)
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -66,7 +76,7 @@ class Stages(StandIn):
 
     @cached_property
     def seasonal(self) -> DataFrame:
-        return materialise(climate.seasonal_climate(self.env, self.truncated))
+        return materialise(climate.seasonal_climate(self.daily, self.truncated))
 
     @cached_property
     def seasonal_fit(self):
@@ -103,7 +113,7 @@ class Stages(StandIn):
 
     @cached_property
     def site_climate(self) -> DataFrame:
-        return models.site_climate(self.climatology)
+        return models.site_climate(self.stored_climatology)
 
     @cached_property
     def site_table(self) -> DataFrame:
