@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bytebpe import ByteBpe, PreTokens
 from .common import append
 
-REMEMBERED = 250_000
+REMEMBERED = 800_000
 # Words beyond this length are encoded but not remembered.
 LONG = 64
 
@@ -110,18 +110,18 @@ class TrieEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, done, out = self.known, {}, [[] for _ in texts]
+        known, out = self.known, [[] for _ in texts]
         for group in self._groups(texts):
-            new = {w for _, words in group if not isinstance(words, int) for w in words if w not in known and w not in done}
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = set().union(*[words for _, words in group if not isinstance(words, int)]) - known.keys()
             for word, ids in self.walk(list(new)):
-                done[word] = struct.pack(f"<{len(ids)}I", *ids)
-            look = lambda w: done[w] if w in done else known[w]
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
             for at, words in group:
-                out[at].append(struct.pack("<I", words) if isinstance(words, int) else b"".join(map(look, words)))
-            if len(known) + len(done) > REMEMBERED:
-                known.clear()
-            known.update((w, v) for w, v in done.items() if len(w) <= LONG)
-            done.clear()
+                out[at].append(struct.pack("<I", words) if isinstance(words, int) else b"".join(map(known.__getitem__, words)))
+            for word in new:
+                if len(word) > LONG:
+                    del known[word]
         return [b"".join(parts) for parts in out]
 
     def _groups(self, texts: list[str]):

@@ -75,12 +75,20 @@ class ByteBpe:
         """Merge the pair of lowest rank, leftmost first, until none is left. O(n log n)."""
         ids = [self.byte_ids[b] for b in word]
         ranks = self.ranks
-        if len(ids) < 40:
-            while len(ids) > 1:
-                best, at = min((ranks.get(pair, (1 << 30, 0)), i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)))
-                if best[0] == 1 << 30:
+        if len(ids) < 60:
+            none = (1 << 30, 0)
+            found = [ranks.get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+            while found:
+                best = min(found)
+                if best is none:
                     break
+                at = found.index(best)
                 ids[at : at + 2] = [best[1]]
+                del found[at]
+                if at:
+                    found[at - 1] = ranks.get((ids[at - 1], best[1]), none)
+                if at < len(found):
+                    found[at] = ranks.get((best[1], ids[at + 1]), none)
             return ids
         after, before, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
         heap = [(*ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in ranks]

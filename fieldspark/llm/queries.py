@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat_format, decontaminate, sharding, token_counts, warc
+from . import bpe_trie, chat_format, decontaminate, parity_join, sharding, token_counts, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = 40
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+c AS MATERIALIZED (SELECT r, count(*) AS n, md5(string_agg(x, '|' ORDER BY x)) AS set FROM s GROUP BY r),
+u AS MATERIALIZED (SELECT min(r) AS r, set, any_value(n) AS n FROM c GROUP BY set),
+p AS MATERIALIZED (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.r < b.r WHERE a.r IN (SELECT r FROM u) AND b.r IN (SELECT r FROM u) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN u x ON x.r = a JOIN u y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+v AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+t(a, b) AS (SELECT r, r FROM u UNION SELECT t.a, v.b FROM t JOIN v ON v.a = t.b),
+m AS (SELECT t.a AS r, min(d.doc_id) AS component_id FROM t JOIN u ON u.r = t.b JOIN c USING (set) JOIN d ON d.r = c.r GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN u ON u.set = c.set LEFT JOIN m ON m.r = u.r""",
     "op3_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -80,5 +96,5 @@ FROM t GROUP BY conv_id""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op4_warc, op5_bpe, op6_chat, op8_token_counts, op10_sharding)
+    f.__name__: f for f in (op2_ngram_jaccard, op3_decontaminate, op4_warc, op5_bpe, op6_chat, op8_token_counts, op10_sharding)
 }

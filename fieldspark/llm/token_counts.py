@@ -17,7 +17,7 @@ from .bytebpe import ByteBpe, PreTokens
 from .common import append
 
 # Merged strings that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def token_counter(bpe: ByteBpe):
