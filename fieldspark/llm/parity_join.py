@@ -22,8 +22,8 @@ binary row per bucket. A bucket is as large as some 16 MB of text at any scale.
 meet in a part first pair with the smallest node there only. Pairs are sifted by
 size and by the Hamming distance of dense bit sketches, then the sets themselves
 are compared. Linked nodes become components; only where a part still holds
-several components are further pairs taken: those that pass the sift, nearest
-four first, then all that remain. A part with very many nodes is compared in
+several components are further pairs taken: those that pass the sift, four
+nearest of each node first, then all that remain. A part with very many nodes is compared in
 blocks of bounded size. So a group of n copies costs about n comparisons, and
 no link between different texts is lost.
 
@@ -55,7 +55,7 @@ HELD_KEYS = 2_000_000
 HELD_DOCS = 60_000
 # Nodes of a part that are compared with each other in one task.
 BLOCK_NODES = 2048
-# Nearest partners in each other component that are tried before all.
+# Nearest partners of other components that a node tries in a part before all are tried.
 NEAREST = 4
 # Documents to verify up to this many are picked out by a broadcast list of their numbers (8 bytes each).
 SENT_IDS = 1_000_000
@@ -101,8 +101,8 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def bit_sketch(hashes: np.ndarray) -> bytes:
-    """Parity bits, a power of two of at least 64 and as many as there are hashes."""
-    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    """Parity bits, a power of two of at least 64 and four times as many as there are hashes."""
+    bits = 1 << max(6, (4 * len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -361,7 +361,7 @@ def _cross_pairs(nearest: int | None):
         node, n, comp, side = [table[c].to_numpy() for c in ("node", "n", "comp", "side")]
         sketches = table["sketch"].to_pylist()
         rows = fold_to(sketches, min(map(len, sketches)))
-        out_a, out_b = [], []
+        out_a, out_b, out_cut = [], [], []
         one_block = table["i"][0].as_py() == table["j"][0].as_py()
         for x in range(len(node)):
             if not one_block and side[x]:
@@ -370,14 +370,15 @@ def _cross_pairs(nearest: int | None):
             may = (comp != comp[x]) & (7 * near <= n + n[x]) & (4 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x]))
             may &= node > node[x] if one_block else side == 1
             found = np.flatnonzero(may)
-            if nearest is not None and len(found) > nearest:
-                found = found[np.lexsort((near[found], comp[found]))]
-                rank = np.arange(len(found)) - np.searchsorted(comp[found], comp[found])
-                found = found[rank < nearest]
+            cut = nearest is not None and len(found) > nearest
+            if cut:
+                found = found[np.argsort(near[found], kind="stable")[:nearest]]
+            out_cut.append(np.full(len(found), cut))
             out_a.append(np.minimum(node[found], node[x]))
             out_b.append(np.maximum(node[found], node[x]))
         join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
-        return pa.Table.from_arrays([join(out_a), join(out_b)], names=["a", "b"])
+        cuts = pa.array(np.concatenate(out_cut) if out_cut else np.empty(0, bool), pa.bool_())
+        return pa.Table.from_arrays([join(out_a), join(out_b), cuts], names=["a", "b", "cut"])
 
     return run
 
@@ -414,7 +415,7 @@ class Join:
         self.parts = materialise(components(self.links))
 
     def left_over(self, nearest: int | None) -> DataFrame:
-        """Untested pairs of different components that share a part and pass the sift, stored."""
+        """Untested pairs of different components that share a part and pass the sift, stored; ``cut`` tells that a node has more."""
         lists = self.met.where("kind = 2").select("members").distinct()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,8 +431,9 @@ class Join:
         here = F.pmod(F.xxhash64("node"), blocks)
         spread = in_parts.join(mixed, "run", "left_semi").withColumn("k", here).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
         placed = spread.select("run", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "node", "n", "sketch", "comp")
-        found = placed.groupBy("run", "i", "j").applyInArrow(_cross_pairs(nearest), "a bigint, b bigint").distinct()
-        return materialise(found.join(self.tested, ["a", "b"], "left_anti"))
+        found = placed.groupBy("run", "i", "j").applyInArrow(_cross_pairs(nearest), "a bigint, b bigint, cut boolean")
+        found = found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        return materialise(found.join(self.tested.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done IS NULL OR cut").select("a", "b", "cut"))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -442,7 +444,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
         rest = state.left_over(nearest)
         if rest.isEmpty():
             break
-        state.test(rest)
+        state.test(rest.select("a", "b"))
+        if rest.where("cut").isEmpty():
+            break
     labels = state.labelled().select("node", "comp", "doc_id")
     smallest = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = labels.select("node", "comp").join(smallest, "comp").select("node", "component_id")

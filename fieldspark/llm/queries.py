@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat_format, decontaminate, parity_join, sharding, token_counts, warc
+from . import bpe_trie, chat_format, decontaminate, parity_join, sharding, token_counts, toxicity, url_templates, warc, weighted_sampling
+from .url_templates import Rule
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = 40
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [Rule(True, "org/"), Rule(False, "example.org/es/"), Rule(False, "example.org/en/1"), Rule(True, "com/fr/"), Rule(False, "com/de/")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return url_templates.judge(table(spark, sf_dir, "pages"), labels, RULES)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.join_documents(table(spark, sf_dir, "documents"))
 
@@ -41,11 +50,19 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return token_counts.count_tokens(docs, VOCABULARY).drop("text")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(SHARDS)
     return sharding.shard_documents(table(spark, sf_dir, "documents"), tree, sharding.grow(tree))
@@ -96,5 +113,8 @@ FROM t GROUP BY conv_id""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard, op3_decontaminate, op4_warc, op5_bpe, op6_chat, op8_token_counts, op10_sharding)
-}
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_ngram_jaccard, op3_decontaminate, op4_warc, op5_bpe, op6_chat, op7_fingerprints, op8_token_counts, op9_toxicity, op10_sharding,
+    )
+}
