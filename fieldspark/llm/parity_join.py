@@ -22,9 +22,9 @@ binary row per bucket. A bucket is as large as some 16 MB of text at any scale.
 meet in a part first pair with the smallest node there only. Pairs are sifted by
 size and by the Hamming distance of dense bit sketches, then the sets themselves
 are compared. Linked nodes become components; only where a part still holds
-several components are further pairs taken: those that pass the sift, four
-nearest of each node first, then all that remain. A part with very many nodes is compared in
-blocks of bounded size. So a group of n copies costs about n comparisons, and
+several components are further pairs taken: of those that pass the sift first as
+many, nearest first, as would join these components, then all that remain. A part
+with very many nodes is compared in blocks of bounded size. So a group of n copies costs about n comparisons, and
 no link between different texts is lost.
 
 Null, empty and wordless texts have no shingles and no links. A null doc_id
@@ -55,8 +55,6 @@ HELD_KEYS = 2_000_000
 HELD_DOCS = 60_000
 # Nodes of a part that are compared with each other in one task.
 BLOCK_NODES = 2048
-# Nearest partners of other components that a node tries in a part before all are tried.
-NEAREST = 4
 # Documents to verify up to this many are picked out by a broadcast list of their numbers (8 bytes each).
 SENT_IDS = 1_000_000
 TEXT_BLOCK = 4 << 20
@@ -354,31 +352,57 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialise(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
 
 
-def _cross_pairs(nearest: int | None):
-    """For the nodes of a block of a part: pairs of different components that pass the sift."""
+def _spanning(node_a: np.ndarray, node_b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Places of the pairs, nearest first, that would join components not yet joined by nearer ones."""
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in root:
+            if root[c] in root:
+                root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    left = len(np.unique(np.concatenate([comp_a, comp_b]))) - 1
+    chosen = []
+    for at in np.lexsort((node_b, node_a, near)).tolist():
+        x, y = top(int(comp_a[at])), top(int(comp_b[at]))
+        if x != y:
+            root[x] = y
+            chosen.append(at)
+            left -= 1
+            if not left:
+                break
+    return np.array(chosen, np.int64)
+
+
+def _cross_pairs(spanning: bool):
+    """For the nodes of a block of a part: pairs of different components that pass the sift, or only those that would join all of them."""
 
     def run(table: pa.Table) -> pa.Table:
         node, n, comp, side = [table[c].to_numpy() for c in ("node", "n", "comp", "side")]
         sketches = table["sketch"].to_pylist()
         rows = fold_to(sketches, min(map(len, sketches)))
-        out_a, out_b, out_cut = [], [], []
+        pairs, distances = [], []
         one_block = table["i"][0].as_py() == table["j"][0].as_py()
         for x in range(len(node)):
             if not one_block and side[x]:
                 continue
-            near = np.bitwise_count(rows ^ rows[x]).sum(1).astype(np.int64)
-            may = (comp != comp[x]) & (7 * near <= n + n[x]) & (4 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x]))
+            may = (comp != comp[x]) & (4 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x]))
             may &= node > node[x] if one_block else side == 1
-            found = np.flatnonzero(may)
-            cut = nearest is not None and len(found) > nearest
-            if cut:
-                found = found[np.argsort(near[found], kind="stable")[:nearest]]
-            out_cut.append(np.full(len(found), cut))
-            out_a.append(np.minimum(node[found], node[x]))
-            out_b.append(np.maximum(node[found], node[x]))
-        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
-        cuts = pa.array(np.concatenate(out_cut) if out_cut else np.empty(0, bool), pa.bool_())
-        return pa.Table.from_arrays([join(out_a), join(out_b), cuts], names=["a", "b", "cut"])
+            near = np.bitwise_count(rows[may] ^ rows[x]).sum(1).astype(np.int64)
+            fits = 7 * near <= n[may] + n[x]
+            found = np.flatnonzero(may)[fits]
+            pairs.append(np.stack([np.full(len(found), x), found], 1))
+            distances.append(near[fits])
+        pair = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+        cut = False
+        if spanning and len(pair):
+            chosen = _spanning(node[pair[:, 0]], node[pair[:, 1]], comp[pair[:, 0]], comp[pair[:, 1]], np.concatenate(distances))
+            cut = len(chosen) < len(pair)
+            pair = pair[chosen]
+        ends = np.sort(node[pair], axis=1)
+        return pa.Table.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64()), pa.array(np.full(len(pair), cut))], names=["a", "b", "cut"])
 
     return run
 
@@ -414,8 +438,8 @@ class Join:
         self.links = found if self.links is None else self.links.union(found)
         self.parts = materialise(components(self.links))
 
-    def left_over(self, nearest: int | None) -> DataFrame:
-        """Untested pairs of different components that share a part and pass the sift, stored; ``cut`` tells that a node has more."""
+    def left_over(self, spanning: bool) -> DataFrame:
+        """Untested pairs of different components that share a part and pass the sift, stored; ``cut`` tells that a block has more."""
         lists = self.met.where("kind = 2").select("members").distinct()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +455,7 @@ class Join:
         here = F.pmod(F.xxhash64("node"), blocks)
         spread = in_parts.join(mixed, "run", "left_semi").withColumn("k", here).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
         placed = spread.select("run", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "node", "n", "sketch", "comp")
-        found = placed.groupBy("run", "i", "j").applyInArrow(_cross_pairs(nearest), "a bigint, b bigint, cut boolean")
+        found = placed.groupBy("run", "i", "j").applyInArrow(_cross_pairs(spanning), "a bigint, b bigint, cut boolean")
         found = found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
         return materialise(found.join(self.tested.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done IS NULL OR cut").select("a", "b", "cut"))
 
@@ -440,8 +464,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     state = Join(docs)
     state.test(state.met.where("kind = 1").select("a", "b").distinct())
-    for nearest in (NEAREST, None):
-        rest = state.left_over(nearest)
+    for spanning in (True, False):
+        rest = state.left_over(spanning)
         if rest.isEmpty():
             break
         state.test(rest.select("a", "b"))
