@@ -73,14 +73,6 @@ def date_span(start: Column, end: Column, closed: str = "left") -> Column:
     raise ValueError(f"closed must be 'left' or 'both', not {closed!r}")
 
 
-def middle_day(start: Column, end: Column) -> Column:
-    """Median day of year of the dates of a left-closed interval (may end in .5)."""
-    days = F.sort_array(F.transform(date_span(start, end, "left"), lambda d: F.dayofyear(d)))
-    n = F.size(days)
-    low, high = F.get(days, F.floor((n - 1) / 2).cast("int")), F.get(days, F.floor(n / 2).cast("int"))
-    return (low + high) / F.lit(2.0)
-
-
 def day_number_span(start: Column, end: Column, wrap: bool = False) -> Column:
     """Days of year in (start, end] as an array of int.
 

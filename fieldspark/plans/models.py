@@ -130,8 +130,7 @@ def kept_hierarchical(samples: DataFrame, min_samples: int = MIN_HIERARCHICAL_SA
 
 def drop_hierarchical(df: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ordinary sites and of the kept hierarchical sites."""
-    # one row per hierarchical type (two), hence safe to broadcast
-    marks = F.broadcast(kept.select("SITE", F.lit(True).alias("__kept")))
+    marks = kept.select("SITE", F.lit(True).alias("__kept"))
     ordinary = ~F.col("SITE_TYPE").isin(HIERARCHICAL)
     return equi_join(df, marks, ["SITE"], "left", []).filter(ordinary | F.col("__kept")).drop("__kept")
 

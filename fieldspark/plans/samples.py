@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.calendar import date_span, middle_day, year_text
-from ..functions.nulls import ratio, strict_mean
+from ..functions.calendar import date_span, year_text
+from ..functions.nulls import ratio, strict_mean, strict_median
 from ..functions.text import paste
 from ..operators.aggregates import standardise
 from ..operators.joins import drop_matching_rows, enrich, keep_matching, natural_join, equi_join, suffix_join
@@ -111,8 +111,8 @@ def weather_anomalies(sample_days: DataFrame, env: DataFrame, climate: DataFrame
     """Mean anomaly and climatology over every sample period.
 
     Anomalies subtract the climatology (cleaned rows) from the *raw* daily weather.
-    The days of a sample are its interval, so the median day follows from the
-    two dates and every aggregate stays a plain sum or count.
+    A period with days that the climatology lacks splits by ``site_sde``; means
+    and the median day are those of each part.
     """
     dated = sample_days.withColumn("jdate", F.dayofyear("date"))
     # keys are null only in SAMPLE_WEIGHT and site_sde, which group but never join
@@ -120,8 +120,8 @@ def weather_anomalies(sample_days: DataFrame, env: DataFrame, climate: DataFrame
     both = suffix_join(weather, climate, [*SITE_KEYS, "jdate"], "_clim", nullable=[])
     both = both.withColumns({f"{v}_anom": F.col(v) - F.col(f"{v}_clim") for v in ENV_VARIABLES})
     return both.groupBy(*PERIOD_KEYS).agg(
-        *across(PERIOD_MEANS, strict_mean)
-    ).withColumn("jdate", middle_day(F.col("START_DATE"), F.col("COLL_DATE")))
+        *across(PERIOD_MEANS, strict_mean), strict_median(F.col("jdate")).alias("jdate")
+    )
 
 
 def footprint(covariates: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Headered CSV in which ``NA`` means null."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
+    """Headered CSV in which ``NA`` means null. A header that differs from the schema, or a malformed row, is an error."""
+    reader = spark.read.schema(schema).option("header", True).option("nullValue", "NA")
+    return reader.option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
