@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat_format, decontaminate, parity_join, sharding, token_counts, toxicity, url_templates, warc, weighted_sampling
+from . import (
+    bpe_trie, chat_format, conversation_trie, decontaminate, parity_join, secret_scan, sharding, token_counts, toxicity, url_templates, warc,
+    weighted_sampling, whitening,
+)
 from .url_templates import Rule
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARDS = 40
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -68,6 +72,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), tree, sharding.grow(tree))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {
@@ -110,11 +126,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), tex
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (sum(wide + len(role) + 21) + 15)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op12_conversation_trie": rf"""
+WITH t AS (SELECT conv_id, md5(concat(strlen(role), ':', role, text)) AS id, turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+l AS MATERIALIZED (SELECT conv_id, list({{'id': id, 'words': words}} ORDER BY turn NULLS FIRST, id) AS turns FROM t GROUP BY conv_id),
+k AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))) % 4 AS h FROM l),
+r AS MATERIALIZED (SELECT k.conv_id, list_concat(coalesce(b.turns, [])[1:k.h], k.turns[k.h + 1:]) AS turns FROM k LEFT JOIN l b ON b.conv_id = k.conv_id - k.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+q AS MATERIALIZED (SELECT conv_id, n, depth, md5(array_to_string(list_transform(turns[1:depth], lambda x: x.id), ',')) AS key,
+      CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(turns[1:depth - 1], lambda x: x.id), ',')) END AS up, coalesce(turns[depth].words, 0) AS words FROM p),
+m AS MATERIALIZED (SELECT key, depth, min(conv_id) AS conv_id, any_value(up) AS up, any_value(words) AS words, count(*) AS n_convs,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM q GROUP BY key, depth),
+c AS (SELECT up, count(*) AS n FROM m GROUP BY up),
+f AS MATERIALIZED (SELECT m.*, coalesce(c.n, 0) AS n_children, (n_convs - 1) * words AS own FROM m LEFT JOIN c ON c.up = m.key),
+s AS (SELECT q.key, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.own) AS saved_tokens FROM f JOIN q ON q.conv_id = f.conv_id AND q.depth <= f.depth GROUP BY q.key)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.key = f.key LEFT JOIN m u ON u.key = f.up""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_ngram_jaccard, op3_decontaminate, op4_warc, op5_bpe, op6_chat, op7_fingerprints, op8_token_counts, op9_toxicity, op10_sharding,
+        op11_whitening, op12_conversation_trie, op13_secret_scan,
     )
 }
