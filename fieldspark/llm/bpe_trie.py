@@ -22,7 +22,7 @@ from os.path import commonprefix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBpe, PreTokens
+from .bytebpe import ByteBpe, PreTokens, stand_ins
 from .common import append
 
 REMEMBERED = 800_000
@@ -31,7 +31,7 @@ LONG = 64
 
 
 class TrieEncoder:
-    def __init__(self, bpe: ByteBpe, alone: set[int]):
+    def __init__(self, bpe: ByteBpe, alone: set[int], other_class: dict[int, str]):
         """``alone``: ids whose bytes merge into exactly that token."""
         self.tokens = {token: i for token, i in bpe.ids.items() if i in alone}
         self.pieces, self.ranks = bpe.pieces, bpe.ranks
@@ -43,7 +43,7 @@ class TrieEncoder:
         self.lengths = {end: sorted(found, reverse=True) for end, found in lengths.items()}
         self.follows: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
-        self.pre = PreTokens(bpe.specials)
+        self.pre = PreTokens(bpe.specials, other_class)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of the two tokens.
@@ -147,12 +147,12 @@ def tables(spark, path: str):
     """Broadcast parts of an encoder: as large as the vocabulary file. ``path`` is read by the driver alone."""
     bpe = ByteBpe.read(path)
     alone = {i for token, i in bpe.ids.items() if bpe.merge(token) == [i]}
-    return spark.sparkContext.broadcast((bpe.ids, bpe.ranks, bpe.specials, alone))
+    return spark.sparkContext.broadcast((bpe.ids, bpe.ranks, bpe.specials, alone, stand_ins()))
 
 
 def encoder(shared) -> TrieEncoder:
-    ids, ranks, specials, alone = shared.value
-    return TrieEncoder(ByteBpe(ids, ranks, specials), alone)
+    ids, ranks, specials, alone, other_class = shared.value
+    return TrieEncoder(ByteBpe(ids, ranks, specials), alone, other_class)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:

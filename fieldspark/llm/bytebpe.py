@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import regex
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 # How byte-level BPE of this family splits text before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -15,6 +18,29 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 BLOCK = 1 << 20
 
 
+# A character of each class that both packages know.
+STAND_INS = {r"\p{L}": "\u00e9", r"\p{N}": "\u00b2", r"\s": "\u00a0", "": "\u00a4"}
+
+
+@cache
+def stand_ins() -> dict[int, str]:
+    """For every character that the ``tokenizers`` library puts into another class than ``regex`` does, one of the class that it has there.
+
+    The two packages know different versions of Unicode. All characters that
+    ``regex`` knows are shown to the library once; those unknown to it have no class.
+    """
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    known = regex.findall(r"[^\p{Cn}\p{Co}]", everything)
+    there, here = dict.fromkeys(known, ""), dict.fromkeys(known, "")
+    for kind, between in ((r"\p{L}", "\n"), (r"\p{N}", "\n"), (r"\s", "a")):
+        here.update(dict.fromkeys(regex.findall(kind, everything), kind))
+        split = Split(Regex(kind), "isolated")
+        for i in range(0, len(known), 1024):
+            line = between.join(known[i : i + 1024])  # a match is one character at an even place, all else is longer or lies between
+            there.update((c, kind) for c, (a, b) in split.pre_tokenize_str(line) if b - a == 1 and a % 2 == 0)
+    return {ord(c): STAND_INS[there[c]] for c in known if there[c] != here[c]}
+
+
 def byte_letters() -> dict[str, int]:
     """Letter standing for each byte in vocabulary files: visible Latin-1 for itself, the rest from U+0100 on in order."""
     visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -111,13 +137,25 @@ class ByteBpe:
 class PreTokens:
     """Splits texts into special tokens and pre-tokens, a bounded block at a time."""
 
-    def __init__(self, specials: dict[str, int]):
-        self.words = regex.compile(PRETOKEN).findall
+    def __init__(self, specials: dict[str, int], other_class: dict[int, str]):
+        self.find = regex.compile(PRETOKEN).findall
+        self.other_class = other_class
+        self.odd = re.compile("[" + "".join(f"\\U{c:08x}" for c in sorted(other_class)) + "]") if other_class else None
         self.specials = specials
         longest_first = sorted(specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if specials else None
         self.border = regex.compile(r"(?<=\S)\s")
 
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens of a block, with the library's character classes."""
+        if text.isascii() or self.odd is None or not self.odd.search(text):
+            return self.find(text)
+        out, at = [], 0
+        for piece in self.find(text.translate(self.other_class)):
+            out.append(text[at : at + len(piece)])
+            at += len(piece)
+        return out
+
     def sections(self, text: str):
         """(text, None) and ('', id of a special token), in order."""
         if self.special is None or not any(s in text for s in self.specials):

@@ -46,14 +46,17 @@ def append(
     """
     new = T._parse_datatype_string(fields)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], utf8(f"`{text}`").alias("__text"))
+    hidden = "text"
+    while hidden in kept:
+        hidden += "_"
+    source = df.select(*[F.col(f"`{c}`") for c in kept], utf8(f"`{text}`").alias(hidden))
     schema = T.StructType([source.schema[c] for c in kept] + list(new.fields))
     arrow = pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = open_batch()
         for batch in batches:
-            at = batch.schema.names.index("__text")
+            at = batch.schema.names.index(hidden)
             columns = work(batch.column(at).to_pylist())
             made = [pa.array(values, field.type) for values, field in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:at] + made, names=batch.schema.names[:at] + arrow.names)

@@ -114,20 +114,23 @@ def _search(docs: DataFrame, rows: list[tuple[str | None, bytes]], window: int)
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Add n_words, hit_spans (word intervals inside test strings) and hit_items (ids, sorted) to every row of ``docs``."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8("text").alias("words"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8("text").alias("words")).distinct()
     size = items.agg(F.sum(F.length("words"))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
+    spans, names = "spans", "items"
+    while spans in docs.columns or names in docs.columns:
+        spans, names = spans + "_", names + "_"
     for g in range(groups):
         part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(groups)) == g)
         rows = [(r.item, bytes(r.words)) for r in part.toLocalIterator()]  # one group, of bounded size
         before = docs
         if g:
-            before = docs.withColumnsRenamed({"hit_spans": "__spans", "hit_items": "__items"})
+            before = docs.withColumnsRenamed({"hit_spans": spans, "hit_items": names})
         docs = _search(before, rows, window)
         if g:
             docs = docs.withColumns(
-                {"hit_spans": F.concat("__spans", "hit_spans"), "hit_items": F.array_sort(F.array_union("__items", "hit_items"))}
-            ).drop("__spans", "__items")
+                {"hit_spans": F.concat(spans, "hit_spans"), "hit_items": F.array_sort(F.array_union(names, "hit_items"))}
+            ).drop(spans, names)
         if groups > 1:
             docs = materialise(docs)
     return docs

@@ -480,14 +480,29 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` but those that a document with a smaller doc_id stands for. Of rows equal in doc_id and text one stays; rows without doc_id stay."""
+    """Rows of ``docs`` but those that a document with a smaller doc_id stands for.
+
+    Rows with one doc_id and different texts are documents of their own, in an
+    order fixed by their texts. Of rows equal in doc_id and text one stays; rows
+    without doc_id stay and stand for none with one.
+    """
     found = materialise(join_documents(docs))
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _keep_one_of_repeated(docs)
     removed = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     few = removed.limit(SENT_IDS + 1).count() <= SENT_IDS
-    kept = docs.join(F.broadcast(removed) if few else removed, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    twice = materialise(twice)
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return docs.join(F.broadcast(removed) if few else removed, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _keep_one_of_repeated(docs: DataFrame) -> DataFrame:
+    """As ``keep_one``, for numbers that occur more than once: rows are first numbered by doc_id (null last) and text."""
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("old"), "text", digest.alias("digest"))
+    order = [F.col("old").asc_nulls_last(), F.col("digest")]
+    kinds = rows.select("old", "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    kinds = materialise(kinds.withColumn("doc_id", F.monotonically_increasing_id()))
+    numbered = rows.join(kinds.withColumnsRenamed({"old": "old_", "digest": "digest_"}), F.expr("old <=> old_ AND digest = digest_")).drop("old_", "digest_")
+    numbered = materialise(numbered)
+    removed = join_documents(numbered.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    named = numbered.where("old IS NOT NULL").join(removed, "doc_id", "left_anti").groupBy("doc_id").agg(F.any_value("row").alias("row"))
+    return named.select("row.*").union(numbered.where("old IS NULL").select("row.*"))

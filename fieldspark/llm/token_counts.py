@@ -13,15 +13,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .bytebpe import ByteBpe, PreTokens
+from .bytebpe import ByteBpe, PreTokens, stand_ins
 from .common import append
 
 # Merged strings that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 
 
-def token_counter(bpe: ByteBpe):
-    whole, merge, pre, counts = bpe.whole, bpe.merge, PreTokens(bpe.specials), {}
+def token_counter(bpe: ByteBpe, other_class: dict[int, str]):
+    whole, merge, pre, counts = bpe.whole, bpe.merge, PreTokens(bpe.specials, other_class), {}
 
     def rest(words: list[str]) -> int:
         total = 0
@@ -54,13 +54,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     """Add n_bytes, n_tokens and over_limit to every row. ``path`` names a byte-level ``tokenizers`` file, read by the driver."""
     bpe = ByteBpe.read(path)
     bpe.whole  # proven before the run, sent along
-    tables = docs.sparkSession.sparkContext.broadcast((bpe.ids, bpe.ranks, bpe.specials, bpe.whole))  # as large as the file
+    tables = docs.sparkSession.sparkContext.broadcast((bpe.ids, bpe.ranks, bpe.specials, bpe.whole, stand_ins()))  # as large as the file
 
     def open_batch():
-        ids, ranks, specials, whole = tables.value
+        ids, ranks, specials, whole, other_class = tables.value
         mine = ByteBpe(ids, ranks, specials)
         mine.__dict__["whole"] = whole
-        count = token_counter(mine)
+        count = token_counter(mine, other_class)
 
         def work(texts: list[bytes]) -> list[list]:
             tokens = [count(t.decode()) for t in texts]

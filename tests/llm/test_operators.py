@@ -340,7 +340,7 @@ def test_toxicity_spans_and_filter(spark):
 def test_marginals_equal_enumeration():
     model = toxicity.Field({b"x": 5.0, b"y": 0.7}, 0.2, ((1.0, 0.4), (0.6, 2.0)))
     sequence = [b"a", b"x", b"b", b"y", b"x"]
-    factor = lambda w: model.words.get(w, model.other)
+    factor = lambda w: model.other * model.words.get(w, 1.0)
     totals, weight_all = [0.0] * 5, 0.0
     for code in range(32):
         states = [(code >> i) & 1 for i in range(5)]
