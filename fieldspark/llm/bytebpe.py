@@ -140,7 +140,11 @@ class PreTokens:
     def __init__(self, specials: dict[str, int], other_class: dict[int, str]):
         self.find = regex.compile(PRETOKEN).findall
         self.other_class = other_class
-        self.odd = re.compile("[" + "".join(f"\\U{c:08x}" for c in sorted(other_class)) + "]") if other_class else None
+        # Two searches, each cheap per character: a set within the basic plane, and one range for all beyond it.
+        low = "".join(f"\\u{c:04x}" for c in sorted(other_class) if c < 0x10000)
+        self.odd = [re.compile(f"[{low}]")] if low else []
+        if any(c >= 0x10000 for c in other_class):
+            self.odd.append(re.compile("[\U00010000-\U0010ffff]"))
         self.specials = specials
         longest_first = sorted(specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if specials else None
@@ -148,7 +152,7 @@ class PreTokens:
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a block, with the library's character classes."""
-        if text.isascii() or self.odd is None or not self.odd.search(text):
+        if text.isascii() or not any(odd.search(text) for odd in self.odd):
             return self.find(text)
         out, at = [], 0
         for piece in self.find(text.translate(self.other_class)):
