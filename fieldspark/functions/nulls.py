@@ -8,11 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 
+def missing(df: DataFrame, name: str) -> Column:
+    """Whether ``dropna`` drops a row for this column: null, or NaN in a floating-point column."""
+    floating = df.schema[name].dataType.typeName() in ("double", "float")
+    return F.col(name).isNull() | F.isnan(name) if floating else F.col(name).isNull()
+
+
 def strict(agg: Callable[[Column], Column], value: Column, over: WindowSpec | None = None) -> Column:
     """``agg(value)``, or null when any value in the group is null."""
     known, rows, result = F.count(value), F.count(F.lit(1)), agg(value)

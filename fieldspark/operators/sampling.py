@@ -15,18 +15,22 @@ from .windows import top_rows
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
     """Exactly ``n`` random rows (all rows when there are fewer).
 
-    A histogram over the leading 16 digest bits tells which buckets hold the
-    ``n`` smallest digests; only those rows reach the final top-n.
+    A histogram over the leading 16 digest bits tells in which bucket the ``n``
+    smallest digests end. Buckets before it are taken whole, wherever they are;
+    only rows of that bucket are ranked. The input is evaluated three times.
     """
     drawn = df.withColumn("__draw", draw_key(seed, *[F.col(k) for k in keys]))
     drawn = drawn.withColumn("__bucket", bucket_of(F.col("__draw")))
     histogram = drawn.groupBy("__bucket").agg(F.count(F.lit(1)).alias("c"))
     running = F.sum("c").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
     # at most 65,536 histogram rows enter this window
-    cut = histogram.select("__bucket", (running - F.col("c")).alias("before")).filter(F.col("before") < n)
-    last = cut.agg(F.max("__bucket")).scalar()
-    near = drawn.filter(F.col("__bucket") <= last)
-    return near.orderBy("__draw", *keys).limit(n).drop("__draw", "__bucket")
+    before = histogram.select("__bucket", (running - F.col("c")).alias("before")).filter(F.col("before") < n)
+    cut = before.orderBy(F.desc("__bucket")).first()
+    if cut is None:
+        return df.limit(0)
+    inside = drawn.filter(F.col("__bucket") == cut["__bucket"])
+    chosen = top_rows(inside, ["__bucket"], [F.col("__draw"), *[F.col(k) for k in keys]], n - cut["before"])
+    return drawn.filter(F.col("__bucket") < cut["__bucket"]).unionByName(chosen).drop("__draw", "__bucket")
 
 
 def sample_per_stratum(df: DataFrame, strata: Sequence[str], keys: Sequence[str], seed: int, k: int = 1) -> DataFrame:

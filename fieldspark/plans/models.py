@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import HARMONICS, harmonics, seasonal_day, whole_day, year_text
@@ -13,6 +14,7 @@ from ..functions.nulls import ratio, safe_log
 from ..functions.text import first_match, remove_first
 from ..operators.aggregates import log_ratio_of_sums, mean_by, standardise
 from ..operators.joins import natural_join, equi_join
+from ..operators.reshape import stack_rows
 from ..operators.sampling import sample_per_stratum
 from ..operators.windows import filter_group_size
 from ..sources.io import materialise
@@ -160,6 +162,32 @@ class SeasonalAnalysis:
         return out
 
 
+def final_models(spark: SparkSession, analyses: dict[str, SeasonalAnalysis]) -> DataFrame:
+    """Coefficients of the REML refits: (dataset, response, term, estimate, se)."""
+    frames = [a.reml.coefficients(spark).select(F.lit(name).alias("dataset"), "*") for name, a in analyses.items()]
+    return stack_rows(*frames)
+
+
+def unselected(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Candidates of a selection log that were not kept, per group of ``by``."""
+    names = [*by, "cand"]
+    return log.select(*names).subtract(log.filter("kept").select(*names))
+
+
+def compare_selections(log: DataFrame, left: str, right: str) -> DataFrame:
+    """Whether two data sets kept the same terms in the same order, per round: (round, n_left, n_right, same).
+
+    Rounds in which neither kept a term are the same.
+    """
+    order = F.row_number().over(Window.partitionBy("dataset", "round").orderBy("step"))
+    kept = log.filter("kept").withColumn("place", order)
+    side = lambda name, alias: kept.filter(F.col("dataset") == name).select("round", "place", F.col("cand").alias(alias))
+    both = side(left, "a").join(side(right, "b"), ["round", "place"], "full")
+    rounds = log.filter(F.col("dataset").isin(left, right)).select("round").distinct()
+    same = both.groupBy("round").agg(F.count("a").alias("n_left"), F.count("b").alias("n_right"), F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+    return rounds.join(same, "round", "left").na.fill({"n_left": 0, "n_right": 0}).withColumn("same", F.coalesce("same", F.lit(True)))
+
+
 def seasonal_analysis(samples: DataFrame, na_policy: str = "per_model") -> SeasonalAnalysis:
     """Base models, then climate, weather and human-footprint selection, then the REML refit."""
     climate, weather, human = climate_candidates(), weather_candidates(), human_candidates()

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import mercator_x, mercator_y
 from ..operators.joins import equi_join
-from ..operators.reshape import split_column, to_wide
+from ..operators.reshape import split_column, stack_rows, to_wide
 from ..operators.windows import filter_group_size
 from ..sources.io import materialise
-from ..stats.design import Term
-from ..stats.linear import simple_regression
+from ..stats.design import Term, term_name
+from ..stats.linear import regression_test
 from ..stats.mixed import SelectionLog
 from ..stats.moran import morans_i_test
+from ..stats.pairs import paired_test
 from ..stats.smooth import Smooth, SmoothFit, SmoothSource, forward_selection_smooth
 
 # Fixed values of the analysis.
@@ -60,14 +61,41 @@ def pair_table(sites: DataFrame, peaks: DataFrame) -> DataFrame:
     return to_wide(pairs, ["SITEPAIR"], "NATURB", PAIR_LEVELS, {"site": "log_DB_site", "peak": "log_DB_peak"})
 
 
+def latitude_regressions(subsets: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Mean and peak biomass on latitude, for the site table and peak table of every data set."""
+    fits = [
+        regression_test(table.select(response, "lat"), response, "lat").select(F.lit(name).alias("dataset"), F.lit(response).alias("response"), "*")
+        for name, tables in subsets.items()
+        for table, response in zip(tables, ("logDB_site", "log_DB_peak"), strict=True)
+    ]
+    return stack_rows(*fits)
+
+
+def pair_tests(pairs: DataFrame) -> DataFrame:
+    """Paired tests of natural against urban sites, for mean and peak biomass."""
+    return stack_rows(*[paired_test(pairs, f"{v}_Natural", f"{v}_Urban").select(F.lit(v).alias("value"), "*") for v in ("site", "peak")])
+
+
 @dataclass
 class SpatialAnalysis:
+    """``reml``: refit of the climate model; ``human_reml``: refit with the footprint terms kept."""
+
     latitude: DataFrame
     climate: SelectionLog
     human: SelectionLog
     reml: SmoothFit
+    human_reml: SmoothFit
     moran: DataFrame
 
+    def refits(self, spark, name: str) -> DataFrame:
+        """Linear terms and summary of both refits: (response, model, term, estimate, aic, edf, adjusted_r2, n)."""
+        rows = [
+            (name, model, term_name(t), float(b), float(fit.aic), float(fit.edf), float(fit.adjusted_r2), int(fit.n))
+            for model, fit in (("climate", self.reml), ("human", self.human_reml))
+            for t, b in zip(fit.terms, fit.beta, strict=False)
+        ]
+        return spark.createDataFrame(rows, "response string, model string, term string, estimate double, aic double, edf double, adjusted_r2 double, n long")
+
     def log(self, spark, name: str) -> DataFrame:
         frames = [log.frame(spark, response=name, round=label) for label, log in (("climate", self.climate), ("human", self.human))]
         return frames[0].unionByName(frames[1].filter(F.col("step") > 0))
@@ -89,9 +117,10 @@ def spatial_analysis(sites: DataFrame, response: str, nsim: int = PERMUTATIONS,
     terms: list[Term] = [(), *[t for group in (CLIMATE_TERMS, HUMAN_TERMS) for ts in group.values() for t in ts]]
     used = sorted({c for t in terms for c in t} | {"X", "Y", "in_nord", "in_mad", "country", "cluster", response, "SITE"})
     table = materialise(sites.select(*used).filter(F.col(response).isNotNull()))
-    source = SmoothSource(table, response, terms, SMOOTHS, seed)
+    source = SmoothSource(table, response, terms, SMOOTHS)
     by_climate = forward_selection_smooth(source, source.fit([()]), CLIMATE_TERMS)
     reml = source.fit(by_climate.model.terms, "REML")
     by_human = forward_selection_smooth(source, by_climate.model, HUMAN_TERMS)
+    human_reml = source.fit(by_human.model.terms, "REML")
     moran = moran_by_group(reml.residuals(table).filter(F.col("residual").isNotNull()), "residual", nsim, seed)
-    return SpatialAnalysis(simple_regression(table, response, "lat"), by_climate, by_human, reml, moran)
+    return SpatialAnalysis(regression_test(table, response, "lat"), by_climate, by_human, reml, human_reml, moran)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -28,13 +29,61 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_bundle(frames: dict[str, DataFrame], path: str) -> None:
-    """One parquet directory per named result."""
-    for name, frame in frames.items():
-        write_table(frame, f"{path}/{name}")
-
+    """Store named results together.
 
-def read_bundle(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: read_table(spark, f"{path}/{name}") for name in names}
+    Members go to a folder of their own; one row, appended to the manifest after
+    all of them, makes them the bundle. A write that ends before leaves the
+    former bundle as it was. One writer at a time.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    version = _last_version(spark, path) + 1
+    folder = f"{version:08d}-{uuid.uuid4().hex}"
+    for name, frame in frames.items():
+        write_table(frame, f"{path}/members/{folder}/{name}")
+    entry = spark.createDataFrame([(version, folder, list(frames))], MANIFEST)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+MANIFEST = "version long, folder string, names array<string>"
+
+
+def _manifest(spark: SparkSession, path: str) -> list[Row]:
+    """Entries, the newest first; none where nothing was ever stored."""
+    try:
+        entries = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        return entries.orderBy("version", ascending=False).collect()  # one row per write
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    return max((e.version for e in _manifest(spark, path)), default=0)
+
+
+def read_bundle(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The members of the last complete bundle, or those named."""
+    entries = _manifest(spark, path)
+    if not entries:
+        raise ValueError(f"no bundle at {path}")
+    last = entries[0]
+    wanted = last["names"] if names is None else names
+    if absent := sorted(set(wanted) - set(last["names"])):
+        raise ValueError(f"not in the bundle: {', '.join(absent)}")
+    return {name: read_table(spark, f"{path}/members/{last.folder}/{name}") for name in wanted}
+
+
+def remove_former(spark: SparkSession, path: str) -> list[str]:
+    """Delete the member folders of all but the last bundle, and those of writes that did not end. Nobody may read them any more."""
+    entries = _manifest(spark, path)
+    members = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/members")
+    system = members.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {f.getPath().getName(): f.getPath() for f in system.listStatus(members)} if entries else {}
+    gone = sorted(name for name in folders if name != entries[0].folder)
+    for name in gone:
+        system.delete(folders[name], True)
+    return gone
 
 
 def shared_folder(spark: SparkSession) -> str:

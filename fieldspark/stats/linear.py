@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nulls import ratio
+from ..functions.distributions import t_two_sided
+from ..functions.nulls import missing, ratio
 from ..operators.joins import equi_join
 from ..sources.schemas import COEFFICIENTS
 from .design import Gram, Term, gram, term_column, term_name, terms_product
@@ -67,7 +68,7 @@ def fit_linear(df: DataFrame, responses: Sequence[str], terms: Sequence[Term]) -
     One pass serves all responses; responses with nulls of their own get a
     second, separate pass because rows are dropped per model.
     """
-    nulls = df.agg(*[F.count_if(F.col(r).isNull()).alias(r) for r in responses]).first()
+    nulls = df.agg(*[F.count_if(missing(df, r)).alias(r) for r in responses]).first()
     whole = [r for r in responses if nulls[r] == 0]
     fits: dict[str, LinearFit] = {}
     if whole:
@@ -126,6 +127,12 @@ def simple_regression(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) ->
     return stats.withColumn("se", se).withColumn("t", ratio(F.col("slope"), F.col("se"))).drop("__sxx", "__sxy", "__syy")
 
 
+def regression_test(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
+    """``simple_regression`` with the two-sided p-value of the slope (n - 2 degrees of freedom)."""
+    stats = simple_regression(df, y, x, by)
+    return stats.withColumn("p_value", t_two_sided(F.col("t"), F.col("n") - 2))
+
+
 def regression_residuals(df: DataFrame, y: str, x: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Residuals of a simple regression, per group, without leaving Spark."""
     fit = simple_regression(df, y, x, by).select(*by, F.col("intercept").alias("__a"), F.col("slope").alias("__b"))

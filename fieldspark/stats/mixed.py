@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.nulls import missing
 from ..operators.joins import group_effect
 from ..sources.schemas import COEFFICIENTS
 from .design import Term, cross_products, design_frame, term_columns, term_name
@@ -346,15 +347,24 @@ class StatsSource:
         self.df, self.response, self.group, self.year = df, response, group, year
         self.terms = list(dict.fromkeys(terms))
         used = sorted(term_columns(self.terms) | {response, group, year})
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in used]).first()
+        nulls = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in used]).first()
         self.always = {c for c in (response, group, year) if nulls[c]}
         self.nullable = {c for c in used if nulls[c]}
         self.common = na_policy == "common"
         self.years = year_levels(df, year)
         self.cache: dict[frozenset, MixedStats] = {}
 
+    def needed(self, terms: Sequence[Term]) -> frozenset:
+        """The columns whose nulls drop a row from a model of these terms."""
+        return frozenset(self.nullable if self.common else (term_columns(terms) & self.nullable) | self.always)
+
+    def effects(self, fit: MixedFit) -> DataFrame:
+        """Predicted group effects from the very rows of the fit, whatever the null policy."""
+        key = self.needed(fit.terms)
+        return group_effects(self.df.dropna(subset=sorted(key)) if key else self.df, fit)
+
     def stats(self, terms: Sequence[Term]) -> MixedStats:
-        key = frozenset(self.nullable if self.common else (term_columns(terms) & self.nullable) | self.always)
+        key = self.needed(terms)
         if key not in self.cache:
             possible = [t for t in self.terms if not (set(t) & self.nullable) - key]
             rows = self.df.dropna(subset=sorted(key)) if key else self.df

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distributions import t_quantile, t_two_sided
 from ..functions.nulls import ratio
-from .solve import t_quantile, t_two_sided
 
 
 def paired_stats(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,11 +21,16 @@ def paired_stats(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def paired_test(df: DataFrame, a: str, b: str, level: float = 0.95) -> DataFrame:
+    """The same with the two-sided p-value and the confidence interval; null with fewer than two pairs or equal differences."""
+    stats = paired_stats(df, a, b)
+    width = F.when(F.col("t").isNotNull(), t_quantile(0.5 + level / 2, F.col("df")) * F.col("se"))
+    return stats.withColumns(
+        {"p_value": t_two_sided(F.col("t"), F.col("df")), "low": F.col("mean_diff") - width, "high": F.col("mean_diff") + width}
+    )
+
+
 def paired_t_test(df: DataFrame, a: str, b: str, level: float = 0.95) -> dict[str, float]:
-    """The same with p-value and confidence interval (scalars)."""
-    row = paired_stats(df, a, b).first()
-    out = {k: float(row[k]) if row[k] is not None else math.nan for k in row.asDict()}
-    if out["n"] > 1 and not math.isnan(out["t"]):
-        width = t_quantile(0.5 + level / 2, out["df"]) * out["se"]
-        out.update(p_value=t_two_sided(out["t"], out["df"]), low=out["mean_diff"] - width, high=out["mean_diff"] + width)
-    return out
+    """``paired_test`` as scalars, NaN for null."""
+    row = paired_test(df, a, b, level).first()
+    return {k: math.nan if v is None else float(v) for k, v in row.asDict().items()}

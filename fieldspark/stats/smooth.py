@@ -1,16 +1,17 @@
 """Spatial-basis regression: smooth surfaces inside clusters plus linear terms.
 
-Each smooth is a low-rank radial basis on a bounded number of knots, multiplied
-with a 0/1 cluster column. It has the same model structure and criteria (ML or
-REML smoothing, AIC, adjusted R-squared) as the analysis, but its own knots and
-optimiser, so estimates are close to, not equal to, those of another package.
+Each smooth is a radial basis of k columns: the strongest directions of the kernel
+on landmarks that stand for all distinct positions, multiplied with a 0/1 cluster
+column. It has the same model structure and criteria (ML or
+REML smoothing, AIC, adjusted R-squared) as the analysis, but its own landmarks
+and optimiser, so estimates are close to, not equal to, those of another package.
 Spark evaluates the basis and sums cross products; the penalised solve is small.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,12 +19,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_key
+from ..functions.nulls import missing
+from ..sources.io import materialise
 from .design import Term, cross_products, term_column, term_columns
 from .mixed import SelectionLog
 from .solve import independent_columns, minimise
 
 
+# Landmarks per column of a basis, cells along a side of the grid, and rounds of k-means.
+LANDMARKS, GRID, ROUNDS = 4, 64, 10
+
+
 @dataclass
 class Smooth:
     """A surface over (x, y) that acts where ``by`` is 1."""
@@ -63,34 +69,93 @@ def radial_column(distance: Column, kind: str) -> Column:
     return F.when(distance > 0, distance * distance * F.log(distance)).otherwise(F.lit(0.0))
 
 
-def choose_knots(df: DataFrame, smooth: Smooth, seed: int = 1) -> np.ndarray:
-    """At most ``k`` random distinct positions of the cluster (a bounded top-k)."""
-    spots = df.filter(F.col(smooth.by) == 1).select(smooth.x, smooth.y).dropna().distinct()
-    rows = spots.orderBy(draw_key(seed, F.col(smooth.x), F.col(smooth.y)), smooth.x, smooth.y).limit(smooth.k).collect()
-    return np.array([[r[0], r[1]] for r in rows], dtype=float).reshape(len(rows), 2)
+def choose_knots(df: DataFrame, smooth: Smooth) -> np.ndarray:
+    """Landmarks that stand for all distinct positions of the cluster, in order of x and y.
+
+    Up to ``LANDMARKS`` times k positions are all landmarks. More are summed up
+    in cells of a grid over their box; from the centre outwards the cell mean
+    farthest from those taken is taken next; then k-means over all positions,
+    one aggregation a round, moves the landmarks. The result depends neither on
+    the order nor on the number of rows at a position.
+    """
+    most = LANDMARKS * smooth.k
+    spots = df.filter(F.col(smooth.by) == 1).select(F.col(smooth.x).cast("double").alias("x"), F.col(smooth.y).cast("double").alias("y"))
+    spots = spots.dropna().distinct()
+    first = spots.limit(most + 1).collect()  # bounded by the size of the basis
+    if len(first) <= most:
+        return np.array(sorted((r.x, r.y) for r in first), dtype=float).reshape(-1, 2)
+    spots = materialise(spots)
+    box = spots.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    size = max(box.x1 - box.x0, box.y1 - box.y0)
+    cell = lambda c, low: F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(size) * GRID), F.lit(GRID - 1))
+    cells = spots.groupBy(cell("x", box.x0).alias("i"), cell("y", box.y0).alias("j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    means = np.array(sorted((r.x, r.y) for r in cells.collect()))  # GRID x GRID at most
+    landmarks = farthest_points(means, most)
+    for _ in range(ROUNDS):
+        sums = _nearest_sums(spots, landmarks).collect()  # one row per landmark
+        moved = landmarks.copy()
+        for r in sums:
+            moved[r.place] = (r.x / r.n, r.y / r.n)
+        still = np.abs(moved - landmarks).max() <= 1e-9 * size
+        landmarks = moved
+        if still:
+            break
+    landmarks = np.round(landmarks / size, 12) * size
+    return landmarks[np.lexsort((landmarks[:, 1], landmarks[:, 0]))]
+
+
+def farthest_points(points: np.ndarray, most: int) -> np.ndarray:
+    """The point nearest to the mean, then always the one farthest from all taken; the first of equally far ones."""
+    taken = [int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))]
+    gap = ((points - points[taken[0]]) ** 2).sum(axis=1)
+    while len(taken) < min(most, len(points)):
+        taken.append(int(np.argmax(gap)))
+        gap = np.minimum(gap, ((points - points[taken[-1]]) ** 2).sum(axis=1))
+    return points[taken]
+
+
+def _nearest_sums(spots: DataFrame, landmarks: np.ndarray) -> DataFrame:
+    """Number and sums of the positions nearest to each landmark (the first of equally near ones)."""
+    import pyarrow as pa
+
+    def fold(batches: Iterator) -> Iterator:
+        total = np.zeros((len(landmarks), 3))
+        for batch in batches:
+            points = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for part in np.array_split(points, max(1, len(points) // 4096)):
+                place = ((part[:, None, :] - landmarks[None]) ** 2).sum(axis=2).argmin(axis=1)
+                np.add.at(total, place, np.column_stack([np.ones(len(part)), part]))
+        there = np.flatnonzero(total[:, 0])
+        arrays = [pa.array(there.astype(np.int32)), *[pa.array(total[there, i]) for i in range(3)]]
+        yield pa.RecordBatch.from_arrays(arrays, ["place", "n", "x", "y"])
+
+    partial = spots.select("x", "y").mapInArrow(fold, "place int, n double, x double, y double")
+    return partial.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y")])
 
 
 def build_basis(smooth: Smooth, knots: np.ndarray) -> Basis:
-    """Trend plus radial functions orthogonal to the trend at the knots, with their penalty."""
+    """Trend plus the k strongest directions of the kernel on the landmarks, orthogonal to the trend there, with their penalty."""
     m = len(knots)
     centre = knots.mean(axis=0) if m else np.zeros(2)
     gaps = knots[:, None, :] - knots[None, :, :]
     distances = np.sqrt((gaps**2).sum(axis=2)) if m else np.zeros((0, 0))
     scale = (float(distances.max()) if m > 1 else 0.0) or 1.0
     trend = np.column_stack([np.ones(m), (knots - centre) / scale]) if m else np.zeros((0, 3))
-    energy = radial(distances / scale, smooth.kind)
-    u, s, _ = np.linalg.svd(trend, full_matrices=True) if m else (np.zeros((0, 0)), np.zeros(0), None)
-    rank = int((s > 1e-9).sum()) if m else 0
-    free = u[:, rank:]
+    values, vectors = np.linalg.eigh(radial(distances / scale, smooth.kind)) if m else (np.zeros(0), np.zeros((0, 0)))
+    strong = np.argsort(-np.abs(values), kind="stable")[: smooth.k]
+    values, vectors = values[strong], vectors[:, strong]
+    _, s, right = np.linalg.svd(trend.T @ vectors, full_matrices=True) if m else (None, np.zeros(0), np.zeros((0, 0)))
+    inside = right[int((s > 1e-9).sum()) :].T  # combinations of the directions without trend
+    free = vectors @ inside
     width = 3 + free.shape[1]
     transform = np.zeros((3 + m, width))
     transform[:3, :3] = np.eye(3)
     transform[3:, 3:] = free
     penalty = np.zeros((width, width))
     if free.shape[1]:
-        inner = free.T @ energy @ free
-        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-        penalty[3:, 3:] = vectors @ np.diag(np.maximum(np.abs(values), 1e-10)) @ vectors.T
+        inner = inside.T @ (values[:, None] * inside)
+        energy, turns = np.linalg.eigh((inner + inner.T) / 2)
+        penalty[3:, 3:] = turns @ np.diag(np.maximum(np.abs(energy), 1e-10)) @ turns.T
     return Basis(smooth, knots, centre, scale, transform, penalty)
 
 
@@ -261,11 +326,11 @@ def fit_smooth(stats: SmoothStats, response: str, terms: Sequence[Term], method:
 class SmoothSource:
     """Cross products per set of nullable columns, knots fixed once."""
 
-    def __init__(self, df: DataFrame, response: str, terms: Sequence[Term], smooths: Sequence[Smooth], seed: int = 1):
+    def __init__(self, df: DataFrame, response: str, terms: Sequence[Term], smooths: Sequence[Smooth]):
         self.df, self.response, self.terms = df, response, list(dict.fromkeys(terms))
-        self.bases = [build_basis(s, choose_knots(df, s, seed)) for s in smooths]
+        self.bases = [build_basis(s, choose_knots(df, s)) for s in smooths]
         used = sorted(term_columns(self.terms))
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in used]).first() if used else {}
+        nulls = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in used]).first() if used else {}
         self.nullable = {c for c in used if nulls[c]}
         self.cache: dict[frozenset, SmoothStats] = {}
 

@@ -9,7 +9,7 @@ from ..operators.aggregates import column_stats
 from ..operators.reshape import stack_rows
 from ..plans import climate, figures, models, peaks, spatial, zones
 from ..sources import io
-from ..stats import linear, mixed, moran, pairs, smooth
+from ..stats import linear, mixed, moran, pairs, smooth, store
 from ..stats.design import gram_cells, term_name
 from .oracle import ENV, HARM, HIER, PERIOD, RES, SCALED, SITE3, means, prediction
 from .registry import query
@@ -67,6 +67,71 @@ def _(s: Stages) -> DataFrame:
     return io.read_bundle(s.spark, path, ["seasonal_models"])["seasonal_models"]
 
 
+def _t_p_sql(t: str, df: str) -> str:
+    """Two-sided p-value of Student's t: the incomplete beta function by its continued fraction, from the end."""
+
+    def part(a: str, b: str, x: str) -> str:
+        even = f"floor(i / 2) * ({b} - floor(i / 2)) * {x} / (({a} + 2 * floor(i / 2) - 1) * ({a} + 2 * floor(i / 2)))"
+        odd = f"-({a} + floor(i / 2)) * ({a} + {b} + floor(i / 2)) * {x} / (({a} + 2 * floor(i / 2)) * ({a} + 2 * floor(i / 2) + 1))"
+        tail = f"list_reduce(list_prepend(0e0, list_transform(range(400, 0, -1), lambda k: k::DOUBLE)), lambda acc, i: (CASE WHEN i % 2 = 0 THEN {even} ELSE {odd} END) / (1 + acc))"
+        return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / ({a}) / (1 + {tail})"
+
+    a, x = f"(({df}) / 2e0)", f"(({df}) / (({df}) + ({t}) * ({t})))"
+    return f"CASE WHEN {x} < ({a} + 1) / ({a} + 2.5e0) THEN {part(a, '0.5e0', x)} ELSE 1 - ({part('0.5e0', a, f'(1 - {x})')}) END"
+
+
+@query(
+    "saved_model_predictions",
+    "CZ jdate:i lat:d " + " ".join(f"{v}_pred:d" for v in ENV),
+    "SELECT CZ, jdate, lat, " + ", ".join(f"{prediction(v)} AS {v}_pred" for v in ENV) + " FROM zone_days_t, fits",
+)
+def _(s: Stages) -> DataFrame:
+    path = io.shared_folder(s.spark)
+    store.write_models(s.spark, s.seasonal_fit.fits, path)
+    return linear.predict(s.zone_days, store.load_linear(s.spark, path))
+
+
+@query(
+    "saved_model_band",
+    "SITE fit:d lwr:d upr:d",
+    """SELECT SITE, a + b * lat AS fit, a + b * lat - 1.96 * w AS lwr, a + b * lat + 1.96 * w AS upr FROM (
+  SELECT SITE, lat, f.*, sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1e0 / n + (lat - mx) * (lat - mx) / sxx)) AS w FROM sitetab_t, (
+    SELECT regr_count(logDB_site, lat) AS n, regr_intercept(logDB_site, lat) AS a, regr_slope(logDB_site, lat) AS b, regr_avgx(logDB_site, lat) AS mx,
+      regr_sxx(logDB_site, lat) AS sxx, regr_syy(logDB_site, lat) AS syy, regr_sxy(logDB_site, lat) AS sxy FROM sitetab_t) f)""",
+)
+def _(s: Stages) -> DataFrame:
+    path = io.shared_folder(s.spark)
+    store.write_models(s.spark, {"latitude": linear.fit_linear(s.site_table, ["logDB_site"], [(), ("lat",)]).fits["logDB_site"]}, path)
+    return linear.with_band(s.site_table, store.load_models(s.spark, path)["latitude"])
+
+
+def _regression_sql(dataset: str, response: str, table: str) -> str:
+    se = "sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)"
+    return (
+        f"SELECT '{dataset}' AS dataset, '{response}' AS response, n, a AS intercept, b AS slope, r2, {se} AS se, b / {se} AS t, {_t_p_sql(f'b / {se}', 'n - 2')} AS p_value FROM "
+        f"(SELECT regr_count({response}, lat) AS n, regr_intercept({response}, lat) AS a, regr_slope({response}, lat) AS b, regr_r2({response}, lat) AS r2, "
+        f"regr_sxx({response}, lat) AS sxx, regr_syy({response}, lat) AS syy, regr_sxy({response}, lat) AS sxy FROM {table})"
+    )
+
+
+SUBSET = f"(SELECT * FROM {{}} WHERE SITE_TYPE NOT IN {HIER} OR SITE IN (SELECT SITE FROM kept_t))"
+
+
+@query(
+    "latitude_regressions",
+    "dataset response n:i intercept:d slope:d r2:d se:d t:d3 p_value:d",
+    " UNION ALL ".join(
+        _regression_sql(dataset, response, table if dataset == "all" else SUBSET.format(table))
+        for dataset in ("all", "no_hierarchical")
+        for response, table in (("logDB_site", "sitetab_t"), ("log_DB_peak", "sitepeak_t"))
+    ),
+)
+def _(s: Stages) -> DataFrame:
+    tables = (io.materialise(s.site_table), io.materialise(s.site_peaks))
+    kept = io.materialise(s.kept_nested)
+    return spatial.latitude_regressions({"all": tables, "no_hierarchical": tuple(models.drop_hierarchical(t, kept) for t in tables)})
+
+
 @query(
     "ols_simple",
     "n:i intercept:d slope:d r2:d se:d t:d3",
@@ -175,7 +240,7 @@ def _(s: Stages) -> DataFrame:
   SELECT X, Y, row_number() OVER (ORDER BY X, Y) AS knot FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1)) k, (
   SELECT coalesce(nullif(max(sqrt((a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y))), 0), 1) AS scale FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1) a,
     (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1) b) s, LATERAL (SELECT sqrt((p.X - k.X) * (p.X - k.X) + (p.Y - k.Y) * (p.Y - k.Y)) AS d) g
-WHERE (SELECT count(*) FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1)) <= 15""",
+WHERE (SELECT count(*) FROM (SELECT DISTINCT X, Y FROM planar_t WHERE in_nord = 1)) <= 60""",
 )
 def _(s: Stages) -> DataFrame:
     table = io.materialise(s.planar.select("SITE", "X", "Y", "in_nord"))
@@ -257,6 +322,21 @@ def _(s: Stages) -> DataFrame:
     return pairs.paired_stats(s.pair_table, "site_Natural", "site_Urban")
 
 
+def _pair_sql(value: str) -> str:
+    stats = f"SELECT count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) / sqrt(count(d)) AS se, count(d) - 1 AS df FROM (SELECT {value}_Natural - {value}_Urban AS d FROM naturb_t)"
+    halved = f"CASE WHEN 1 - ({_t_p_sql('(lo + hi) / 2', 'df')}) / 2 < 0.975 THEN"
+    return (
+        f"SELECT '{value}' AS value, n, mean_diff, se, mean_diff / se AS t, df, {_t_p_sql('mean_diff / se', 'df')} AS p_value, mean_diff - q * se AS low, mean_diff + q * se AS high FROM ("
+        f"WITH RECURSIVE s AS ({stats}), h(i, lo, hi) AS (SELECT 0, 0e0, 1e6 UNION ALL SELECT i + 1, {halved} (lo + hi) / 2 ELSE lo END, {halved} hi ELSE (lo + hi) / 2 END FROM h, s WHERE i < 100) "
+        "SELECT s.*, (lo + hi) / 2 AS q FROM s, h WHERE i = 100)"
+    )
+
+
+@query("pair_tests", "value n:i mean_diff:d se:d t:d df:i p_value:d low:d high:d", f"{_pair_sql('site')} UNION ALL {_pair_sql('peak')}")
+def _(s: Stages) -> DataFrame:
+    return spatial.pair_tests(io.materialise(s.pair_table))
+
+
 # --- composite analyses ------------------------------------------------------
 
 
@@ -424,6 +504,22 @@ def _(s: Stages) -> DataFrame:
     return stack_rows(*[models.seasonal_analysis(df).log(s.spark, name) for name, df in subsets.items()])
 
 
+def _seasonal(s: Stages) -> dict[str, models.SeasonalAnalysis]:
+    rows = s.stored_samples
+    subsets = {"all": rows, "no_hierarchical": models.drop_hierarchical(rows, models.kept_hierarchical(rows, NESTED_SAMPLES))}
+    return {name: models.seasonal_analysis(df) for name, df in subsets.items()}
+
+
+@query("seasonal_refits", "dataset response term estimate:d se:d")
+def _(s: Stages) -> DataFrame:
+    return models.final_models(s.spark, _seasonal(s))
+
+
+@query("spatial_refits", "response model term estimate:d aic:d edf:d adjusted_r2:d n:i")
+def _(s: Stages) -> DataFrame:
+    return spatial.spatial_analysis(s.planar, "logDB_site", nsim=1).refits(s.spark, "logDB_site")
+
+
 @query("spatial_analysis", "response round step:i cand kept:b aic:d r2m:d")
 def _(s: Stages) -> DataFrame:
     fit = _m2(s)
