@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +33,22 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def release() -> None:
+    """Give freed memory back to the system: the worker process goes on to other stages, beside other workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def append(
     df: DataFrame,
     text: str,
@@ -46,20 +64,22 @@ def append(
     """
     new = T._parse_datatype_string(fields)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    hidden = "text"
-    while hidden in kept:
-        hidden += "_"
-    source = df.select(*[F.col(f"`{c}`") for c in kept], utf8(f"`{text}`").alias(hidden))
+    # A text that stays is read where it is; any other goes along in a column of its own.
+    stays = text in kept and df.schema[text].dataType == T.StringType()
+    hidden = text if stays else fresh("text", kept)
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *([] if stays else [utf8(f"`{text}`").alias(hidden)]))
     schema = T.StructType([source.schema[c] for c in kept] + list(new.fields))
     arrow = pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = open_batch()
         for batch in batches:
-            at = batch.schema.names.index(hidden)
-            columns = work(batch.column(at).to_pylist())
+            texts = batch.column(batch.schema.names.index(hidden)).cast(pa.binary()).fill_null(b"")
+            columns = work(texts.to_pylist())
             made = [pa.array(values, field.type) for values, field in zip(columns, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:at] + made, names=batch.schema.names[:at] + arrow.names)
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + made, names=kept + arrow.names)
+        del work
+        release()
 
     return source.mapInArrow(run, schema)
 

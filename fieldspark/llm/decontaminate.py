@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import materialise
-from .common import append, plain_words, utf8
+from .common import append, fresh, plain_words, utf8
 
 WINDOW = 10
 # Bytes of benchmark text behind one set of tables.
@@ -85,10 +85,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FIELDS = "n_words bigint, hit_spans array<struct<start:int,stop:int>>, hit_items array<string>"
+NAMES = ("n_words", "hit_spans", "hit_items")
 
 
-def _search(docs: DataFrame, rows: list[tuple[str | None, bytes]], window: int) -> DataFrame:
+def _search(docs: DataFrame, rows: list[tuple[str | None, bytes]], window: int, names: tuple[str, str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(test_strings(rows, window))
 
     def open_batch():
@@ -109,28 +109,29 @@ def _search(docs: DataFrame, rows: list[tuple[str | None, bytes]], window: int)
 
         return work
 
-    return append(docs, "text", FIELDS, open_batch)
+    return append(docs, "text", f"`{names[0]}` bigint, `{names[1]}` array<struct<start:int,stop:int>>, `{names[2]}` array<string>", open_batch)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Add n_words, hit_spans (word intervals inside test strings) and hit_items (ids, sorted) to every row of ``docs``."""
+def find_overlaps(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, names: tuple[str, str, str] = NAMES
+) -> DataFrame:
+    """Add n_words, hit_spans (word intervals inside test strings) and hit_items (ids, sorted), under these names, to every row of ``docs``."""
+    _, hit_spans, hit_items = names
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8("text").alias("words")).distinct()
     size = items.agg(F.sum(F.length("words"))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
-    spans, names = "spans", "items"
-    while spans in docs.columns or names in docs.columns:
-        spans, names = spans + "_", names + "_"
+    spans, found = fresh("spans", docs.columns), fresh("items", docs.columns)
     for g in range(groups):
         part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(groups)) == g)
         rows = [(r.item, bytes(r.words)) for r in part.toLocalIterator()]  # one group, of bounded size
         before = docs
         if g:
-            before = docs.withColumnsRenamed({"hit_spans": spans, "hit_items": names})
-        docs = _search(before, rows, window)
+            before = docs.withColumnsRenamed({hit_spans: spans, hit_items: found})
+        docs = _search(before, rows, window, names)
         if g:
             docs = docs.withColumns(
-                {"hit_spans": F.concat(spans, "hit_spans"), "hit_items": F.array_sort(F.array_union(names, "hit_items"))}
-            ).drop(spans, names)
+                {hit_spans: F.concat(spans, hit_spans), hit_items: F.array_sort(F.array_union(found, hit_items))}
+            ).drop(spans, found)
         if groups > 1:
             docs = materialise(docs)
     return docs
@@ -155,5 +156,5 @@ def overlap_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a hit, with the columns they came with."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return find_overlaps(marked, benchmark).where(F.size("hit_spans") == 0).select("row.*")
+    names = tuple(fresh(n, docs.columns) for n in NAMES)
+    return find_overlaps(docs, benchmark, names=names).where(F.size(names[1]) == 0).select(*docs.columns)

@@ -32,7 +32,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import numpy as np
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import materialise
-from .common import append, plain_words
+from .common import append, fresh, plain_words
 
 SAMPLE = 3000
 FEATURES = 4096
@@ -55,7 +55,7 @@ BEGINNINGS = (6, 5, 4)
 SLOTS = 1 + len(BEGINNINGS)
 NO_FEATURES = (0,) * SLOTS
 # Words whose factor a scoring task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 FLOOR = 0.02
 THRESHOLD = 0.7
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -336,7 +336,8 @@ def evidence_rows(rows: DataFrame, model: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [shared.value.evidence(plain_words(t))[:2] for t in batch.column(0).to_pylist()]
+            model_ = replace(shared.value)
+            seen = [model_.evidence(plain_words(t))[:2] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a for a, _ in seen], pa.float64()), pa.array([b for _, b in seen], pa.float64())], names=["toxic", "total", "most"])
 
     return rows.select("text", "toxic").mapInArrow(run, "toxic int, total double, most double")
@@ -381,12 +382,12 @@ def spans_of(text: str, marginals: list[float]) -> list[tuple[int, int]]:
     return out
 
 
-def score(docs: DataFrame, model: Field) -> DataFrame:
-    """Add score, predicted and toxic_spans to every row."""
+def score(docs: DataFrame, model: Field, names: tuple[str, str, str] = ("score", "predicted", "toxic_spans")) -> DataFrame:
+    """Add score, predicted and toxic_spans, under these names, to every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
 
     def open_batch():
-        field_ = shared.value
+        field_ = replace(shared.value)  # remembers words for this task alone
         nothing = field_.score(0.0, 0.0)
 
         def work(texts: list[bytes]) -> list[list]:
@@ -399,7 +400,8 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
 
         return work
 
-    return append(docs, "text", "score double, predicted int, toxic_spans array<struct<start:int,stop:int>>", open_batch)
+    value, mark, spans_ = names
+    return append(docs, "text", f"`{value}` double, `{mark}` int, `{spans_}` array<struct<start:int,stop:int>>", open_batch)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -412,5 +414,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic, with the columns they came with."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(marked, fit(docs, labels)).where("predicted = 0").select("row.*")
+    names = tuple(fresh(n, docs.columns) for n in ("score", "predicted", "toxic_spans"))
+    return score(docs, fit(docs, labels), names).where(F.col(names[1]) == 0).select(*docs.columns)
