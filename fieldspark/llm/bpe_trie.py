@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from os.path import commonprefix
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from .bytebpe import ByteBpe, PreTokens, stand_ins
 from .common import append
 
 REMEMBERED = 800_000
+# Bytes of text whose distinct words share a trie.
+SLICE = 4 << 20
 # Words beyond this length are encoded but not remembered.
 LONG = 64
 
@@ -143,6 +146,19 @@ class TrieEncoder:
         return b"".join(map(self.pieces.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids))).decode("utf-8", "replace")
 
 
+def sliced(texts: list[bytes], most: int = SLICE) -> Iterator[list[bytes]]:
+    """Runs of texts of at most ``most`` bytes together, or one longer text: what a trie holds at once."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def tables(spark, path: str):
     """Broadcast parts of an encoder: as large as the vocabulary file. ``path`` is read by the driver alone."""
     bpe = ByteBpe.read(path)
@@ -161,7 +177,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
     def open_batch():
         mine = encoder(shared)
-        return lambda texts: [mine.encode([t.decode() for t in texts])]
+        return lambda texts: [[ids for part in sliced(texts) for ids in mine.encode([t.decode() for t in part])]]
 
     return append(df, text, f"`{out}` binary", open_batch)
 
@@ -186,8 +202,11 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         mine = encoder(shared)
 
         def work(texts: list[bytes]) -> list[list]:
-            ids = mine.encode([t.decode() for t in texts])
-            return [[len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(mine.decode(x).encode()) for x in ids]]
+            made: list[tuple] = []
+            for part in sliced(texts):
+                ids = mine.encode([t.decode() for t in part])
+                made += [(len(x) // 4, sha(x), sha(mine.decode(x).encode())) for x in ids]
+            return [[m[i] for m in made] for i in range(3)]
 
         return work
 

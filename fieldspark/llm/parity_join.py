@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import materialise
-from .common import CASE, utf8
+from .common import CASE, release, utf8
 
 SHINGLE = 5
 # Two sets link if 100 * shared >= LINK * union. The bounds below (7, 3/4) follow from it.
@@ -242,6 +242,7 @@ def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, list[np.n
 
 
 def _meet(table: pa.Table) -> pa.Table:
+    release()  # what the bucket before left
     made = []
     for blob in table["docs"].to_pylist():
         if blob is not None:
@@ -277,6 +278,8 @@ def meet(docs: DataFrame) -> DataFrame:
                     packer.clear()
         if packer.docs:
             yield from packer.rows()
+        del packer
+        release()
 
     packed = rows.mapInArrow(run, "bucket int, keys binary, docs binary")
     return materialise(packed.groupBy("bucket").applyInArrow(_meet, MET_FIELDS))
@@ -327,6 +330,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
             made = [shingles(t.as_py()) for t in batch.column(0)]
             made = [h for h in made if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in made], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], names=["node", "set"])
+        release()
 
     found = rows.select("words").mapInArrow(run, "node bigint, set binary")
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))

@@ -175,3 +175,10 @@ def test_held_out_quality_on_the_tables(spark):
         part = got[(got.score >= low) & (got.score < high)]
         assert abs(part.score.mean() - part.toxic.mean()) < 0.05
     assert regex.search(r"^\d+:\d+", got[got.predicted == 1].toxic_spans.iloc[0])
+
+
+def test_slices_of_texts():
+    texts = [b"a" * n for n in (3, 3, 3, 20, 1, 0, 9)]
+    parts = list(bpe_trie.sliced(texts, 7))
+    assert [t for p in parts for t in p] == texts and [list(map(len, p)) for p in parts] == [[3, 3], [3], [20], [1, 0], [9]]
+    assert list(bpe_trie.sliced([])) == []
