@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .bytebpe import ByteBpe, PreTokens, stand_ins
 from .common import append
 
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 # Bytes of text whose distinct words share a trie.
-SLICE = 4 << 20
+SLICE = 1 << 20
 # Words beyond this length are encoded but not remembered.
 LONG = 64
 
@@ -45,7 +45,9 @@ class TrieEncoder:
             lengths.setdefault(token[-2:], set()).add(len(token))
         self.lengths = {end: sorted(found, reverse=True) for end, found in lengths.items()}
         self.follows: dict[tuple[int, int], bool] = {}
+        # Words seen of late, and those seen before them; a word that comes up again moves over.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pre = PreTokens(bpe.specials, other_class)
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -79,14 +81,14 @@ class TrieEncoder:
                 i -= 1
             else:
                 j -= 1
-        if len(self.follows) >= 1_000_000:
+        if len(self.follows) >= REMEMBERED:
             self.follows.clear()
         self.follows[left, right] = answer
         return answer
 
     def walk(self, words: list[str]):
         """(word, its ids) for distinct words, over the trie in preorder."""
-        tokens, lengths, may_follow = self.tokens, self.lengths, self.may_follow
+        tokens, lengths, follows, may_follow = self.tokens, self.lengths, self.follows, self.may_follow
         last: list[int] = [-1]  # by depth: the last token of the prefix
         size: list[int] = [0]  # and its length
         previous = b""
@@ -98,7 +100,7 @@ class TrieEncoder:
                     if n > end:
                         continue
                     token = tokens.get(raw[end - n : end])
-                    if token is not None and (n == end or may_follow(last[end - n], token)):
+                    if token is not None and (n == end or follows.get((last[end - n], token)) or may_follow(last[end - n], token)):
                         break
                 else:
                     n, token = 1, tokens[raw[end - 1 : end]]  # one byte always ends a prefix
@@ -113,11 +115,15 @@ class TrieEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, out = self.known, [[] for _ in texts]
+        out = [[] for _ in texts]
         for group in self._groups(texts):
-            if len(known) > REMEMBERED:
-                known.clear()
+            if len(self.known) >= REMEMBERED // 2:
+                self.older, self.known = self.known, {}
+            known, older = self.known, self.older
             new = set().union(*[words for _, words in group if not isinstance(words, int)]) - known.keys()
+            again = new & older.keys()
+            known.update((word, older.pop(word)) for word in again)
+            new -= again
             for word, ids in self.walk(list(new)):
                 known[word] = struct.pack(f"<{len(ids)}I", *ids)
             for at, words in group:
