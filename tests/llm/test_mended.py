@@ -182,3 +182,17 @@ def test_slices_of_texts():
     parts = list(bpe_trie.sliced(texts, 7))
     assert [t for p in parts for t in p] == texts and [list(map(len, p)) for p in parts] == [[3, 3], [3], [20], [1, 0], [9]]
     assert list(bpe_trie.sliced([])) == []
+
+
+def test_forgotten_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe_trie, "REMEMBERED", 8)
+    library = Tokenizer.from_file(VOCABULARY)
+    library.no_truncation()
+    library.no_padding()
+    bpe = bytebpe.ByteBpe.read(VOCABULARY)
+    alone = {i for token, i in bpe.ids.items() if bpe.merge(token) == [i]}
+    encoder = bpe_trie.TrieEncoder(bpe, alone, bytebpe.stand_ins())
+    texts = ["one two three four five", "", "six seven eight one two", "x" * 70 + " nine ten", "one six unfathomably", "three " + "x" * 70]
+    for text in texts * 3:  # one call each: words pass from the newer to the older memory and back, or are lost
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoder.older and len(encoder.known) < 12
