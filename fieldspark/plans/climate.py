@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.calendar import HARMONICS, date_span, harmonics, seasonal_day
-from ..functions.nulls import clamp, strict_mean
+from ..functions.nulls import clamp, strict, strict_mean
 from ..operators.aggregates import mean_by
 from ..operators.joins import keep_matching, natural_join
 from ..operators.projection import shared_names
@@ -96,9 +96,9 @@ def sampled_days(samples: DataFrame) -> DataFrame:
 
 
 def residual_cutoffs(residuals: DataFrame, samples: DataFrame) -> DataFrame:
-    """Extreme residuals on sampled days: the values behind the fixed cut-offs."""
+    """Extreme residuals on sampled days: the values behind the fixed cut-offs; null when any residual is null."""
     return natural_join(residuals, sampled_days(samples), "inner", ["SITE", "jdate"], []).agg(
-        F.min("temp_res").alias("min_temp"), F.max("snow_res").alias("max_snow")
+        strict(F.min, F.col("temp_res")).alias("min_temp"), strict(F.max, F.col("snow_res")).alias("max_snow")
     )
 
 

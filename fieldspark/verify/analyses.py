@@ -165,7 +165,7 @@ def _(s: Stages) -> DataFrame:
     return s.residuals
 
 
-@query("residual_cutoffs", "min_temp:d max_snow:d", "SELECT min(temp_res) AS min_temp, max(snow_res) AS max_snow FROM residuals_t JOIN sampled_days_t USING (SITE, jdate)")
+@query("residual_cutoffs", "min_temp:d max_snow:d", "SELECT CASE WHEN count(temp_res) = count(*) THEN min(temp_res) END AS min_temp, CASE WHEN count(snow_res) = count(*) THEN max(snow_res) END AS max_snow FROM residuals_t JOIN sampled_days_t USING (SITE, jdate)")
 def _(s: Stages) -> DataFrame:
     return climate.residual_cutoffs(s.residuals, s.truncated)
 

@@ -13,7 +13,7 @@ from fieldspark.operators import joins as jn
 from fieldspark.operators import projection as pr
 from fieldspark.operators import reshape as rs
 from fieldspark.operators import sampling, windows
-from fieldspark.plans import samples
+from fieldspark.plans import climate, samples
 
 
 def day(text_date: str) -> dt.date:
@@ -186,3 +186,11 @@ def test_wide_reshape_and_split(spark):
     assert {r.pair: r.side for r in parts.filter("side is null").collect()} == {"S3": None}
     wide = rs.to_wide(parts.filter("side is not null"), ["pair"], "side", ["Natural", "Urban"], {"v": "v"})
     assert wide.first().asDict() == {"pair": "P1", "v_Natural": 1.0, "v_Urban": 2.0}
+
+
+def test_cutoffs_are_null_with_a_null_residual(spark):
+    days = [("a", 45.0, dt.date(2020, 5, 1), dt.date(2020, 5, 3), 2.0), ("b", 45.0, dt.date(2020, 5, 1), dt.date(2020, 5, 3), 0.0)]
+    samples_ = spark.createDataFrame(days, "SITE string, SITE_LATITUDE double, START_DATE date, COLL_DATE date, DB_sample double")
+    rows = [("a", 122, -3.0, 0.1), ("a", 123, -5.0, None), ("a", 200, -9.0, 0.9), ("b", 122, -8.0, 0.8)]
+    residuals = spark.createDataFrame(rows, "SITE string, jdate int, temp_res double, snow_res double")
+    assert climate.residual_cutoffs(residuals, samples_).first().asDict() == {"min_temp": -5.0, "max_snow": None}
