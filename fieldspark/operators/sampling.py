@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.draws import bucket_of, draw_key
+from .joins import equi_join
 from .windows import top_rows
 
 
@@ -40,7 +41,7 @@ def sample_per_stratum(df: DataFrame, strata: Sequence[str], keys: Sequence[str]
 
 
 def hashed_rank(df: DataFrame, groups: Sequence[str], digest: str, ties: Sequence[str], name: str) -> DataFrame:
-    """Rank (from 1) by digest inside each group without sorting a whole group in one task.
+    """Rank (from 1) by digest inside each group, null being a group, without sorting a whole group in one task.
 
     Digests are uniform, so their leading bits split every group into 256 even
     buckets: rows are ranked inside a bucket and shifted by the size of the
@@ -51,9 +52,9 @@ def hashed_rank(df: DataFrame, groups: Sequence[str], digest: str, ties: Sequenc
     before = W.partitionBy(*groups).orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = sizes.withColumn("__before", F.sum("__c").over(before) - F.col("__c")).drop("__c")
     inside = W.partitionBy(*groups, "__b").orderBy(digest, *ties)
+    ranked = bucketed.withColumn("__r", F.row_number().over(inside))
     return (
-        bucketed.withColumn("__r", F.row_number().over(inside))
-        .join(offsets, [*groups, "__b"])
+        equi_join(ranked, offsets, [*groups, "__b"], "inner", groups)
         .withColumn(name, F.col("__r") + F.col("__before"))
         .drop("__b", "__r", "__before")
     )

@@ -13,13 +13,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_key
 from ..functions.nulls import ratio
 from ..operators.joins import distance_band_pairs, equi_join
 from ..operators.sampling import hashed_rank
+from ..sources.io import materialise
+
+# Runs of the permutation test that travel together as one array.
+RUN_BLOCK = 64
 
 
 def spatial_weights(points: DataFrame, key: str, x: str, y: str, radius: float, by: Sequence[str] = ()) -> DataFrame:
@@ -29,10 +33,13 @@ def spatial_weights(points: DataFrame, key: str, x: str, y: str, radius: float,
     return equi_join(edges, degree, [*by, "i"], "left").select(*by, "i", "j", "w")
 
 
+def _place(x: str, y: str) -> Column:
+    return F.concat_ws(":", F.hex(F.col(x).cast("string")), F.hex(F.col(y).cast("string")))
+
+
 def _positions(points: DataFrame, x: str, y: str, by: Sequence[str], radius: float) -> tuple[DataFrame, DataFrame]:
     """Positions with their size, and their neighbourhoods (a, b), each position its own neighbour."""
-    place = F.concat_ws(":", F.hex(F.col(x).cast("string")), F.hex(F.col(y).cast("string")))
-    spots = points.groupBy(*by, place.alias("spot"), F.col(x).alias("x"), F.col(y).alias("y")).agg(
+    spots = points.groupBy(*by, _place(x, y).alias("spot"), F.col(x).alias("x"), F.col(y).alias("y")).agg(
         F.count(F.lit(1)).alias("size")
     )
     near = distance_band_pairs(spots, "spot", "x", "y", radius, by).withColumnsRenamed({"i": "a", "j": "b"})
@@ -78,10 +85,9 @@ def _statistic(
 
 
 def _centred(points: DataFrame, value: str, x: str, y: str, by: Sequence[str], key: str) -> DataFrame:
-    place = F.concat_ws(":", F.hex(F.col(x).cast("string")), F.hex(F.col(y).cast("string")))
     means = points.groupBy(*by).agg(F.avg(value).alias("__mean"))
     joined = equi_join(points, means, list(by), "left") if by else points.withColumn("__mean", means.scalar())
-    return joined.select(*by, F.col(key).alias("key"), place.alias("spot"), (F.col(value) - F.col("__mean")).alias("z"))
+    return joined.select(*by, F.col(key).alias("key"), _place(x, y).alias("spot"), (F.col(value) - F.col("__mean")).alias("z"))
 
 
 def morans_i(points: DataFrame, key: str, value: str, x: str, y: str, radius: float, by: Sequence[str] = ()) -> DataFrame:
@@ -91,41 +97,93 @@ def morans_i(points: DataFrame, key: str, value: str, x: str, y: str, radius: fl
     return _statistic(_centred(present, value, x, y, by, key), spots, near, by, [])
 
 
-def permutations(centred: DataFrame, by: Sequence[str], nsim: int, seed: int) -> DataFrame:
-    """Values re-dealt among the points of each group, ``nsim`` times.
+def _links(points: DataFrame, x: str, y: str, by: Sequence[str], radius: float) -> DataFrame:
+    """Neighbour list (by, a, b, c, own) of the positions that have a neighbour.
+
+    ``c`` counts the other points around position a; ``own`` is the size of a on
+    the row a = b and 0 on all others.
+    """
+    spots, near = _positions(points, x, y, by, radius)
+    sized = equi_join(near, spots.select(*by, F.col("spot").alias("b"), "size"), [*by, "b"], "inner")
+    degree = sized.groupBy(*by, "a").agg((F.sum("size") - 1).alias("c")).filter(F.col("c") > 0)
+    own = F.when(F.col("a") == F.col("b"), F.col("size")).otherwise(0)
+    return equi_join(sized, degree, [*by, "a"], "inner").select(*by, "a", "b", "c", own.alias("own"))
+
+
+def permuted_sums(centred: DataFrame, by: Sequence[str], nsim: int, seed: int) -> DataFrame:
+    """Sums ``s`` and sums of squares ``q`` at every position, for blocks of runs held as arrays.
 
     Run ``sim`` orders the points of a group by md5(seed:sim:key); the point in
-    place r of the fixed order gets the value of the point in place r of that order.
+    place r of the order of run 0 gets the value of the point in place r of that
+    order, so that run 0 holds the values as observed. Every run deals a value
+    to every point: element i of a block belongs to run ``RUN_BLOCK * block + i``.
     """
     by = list(by)
     fixed = hashed_rank(
         centred.withColumn("__d", draw_key(seed, F.lit(0), F.col("key"))), by, "__d", ["key"], "r"
     ).select(*by, "spot", "r")
-    runs = centred.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
+    runs = centred.select(*by, "key", "z", F.explode(F.sequence(F.lit(0), F.lit(nsim))).alias("sim"))
     dealt = hashed_rank(
         runs.withColumn("__d", draw_key(seed, F.col("sim"), F.col("key"))), [*by, "sim"], "__d", ["key"], "r"
     ).select(*by, "sim", "r", "z")
-    return equi_join(dealt, fixed, [*by, "r"], "inner").select(*by, "sim", "spot", "z")
+    sums = (
+        equi_join(dealt, fixed, [*by, "r"], "inner")
+        .groupBy(*by, "spot", "sim")
+        .agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"))
+    )
+    block = F.floor(F.col("sim") / RUN_BLOCK).cast("int").alias("block")
+    held = sums.groupBy(*by, "spot", block).agg(F.array_sort(F.collect_list(F.struct("sim", "s", "q"))).alias("runs"))
+    return held.select(*by, "spot", "block", F.col("runs.s").alias("s"), F.col("runs.q").alias("q"))
+
+
+def _run_totals(links: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The numerator of every run, (by, sim, top), by one aggregation over the neighbour list.
+
+    A link carries a block of runs, so rows are only taken apart after the
+    joins, straight into the partial sums of the task.
+    """
+    by = list(by)
+    here = sums.select(*by, F.col("spot").alias("a"), "block", "s", "q")
+    there = sums.select(*by, F.col("spot").alias("b"), "block", F.col("s").alias("sb"))
+    met = equi_join(equi_join(links, there, [*by, "b"], "inner"), here, [*by, "a", "block"], "inner")
+    products = F.when(
+        F.col("a") == F.col("b"), F.zip_with("s", "q", lambda s, q: s * s - q)
+    ).otherwise(F.zip_with("s", "sb", lambda s, t: s * t))
+    parts = met.select(*by, "block", "c", F.posexplode(products).alias("i", "product"))
+    run = (F.col("block") * RUN_BLOCK + F.col("i")).alias("sim")
+    return parts.groupBy(*by, run).agg(F.sum(F.col("product") / F.col("c")).alias("top"))
 
 
 def morans_i_test(
     points: DataFrame, key: str, value: str, x: str, y: str, radius: float, by: Sequence[str] = (), nsim: int = 999, seed: int = 1
 ) -> DataFrame:
-    """Moran's I with a one-sided permutation p-value, (1 + runs at least as large) / (nsim + 1)."""
-    by = list(by)
+    """Moran's I with a one-sided permutation p-value, (1 + runs at least as large) / (nsim + 1).
+
+    Points, neighbour list and dealt values are stored in the shared folder; the
+    observed statistic is run 0 of the same sums. Without a neighbour anywhere in
+    a group, or with equal values alone, statistic and p-value are null.
+    """
+    # a stored constant stands in for the group, so that joins on it stay joins
+    groups = list(by) or ["__all"]
     present = points.filter(F.col(value).isNotNull())
-    spots, near = _positions(present, x, y, by, radius)
-    centred = _centred(present, value, x, y, by, key)
-    observed = _statistic(centred, spots, near, by, [])
-    runs = _statistic(permutations(centred, by, nsim, seed), spots, near, by, ["sim"])
-    runs = runs.withColumnRenamed("moran_i", "i_sim").drop("n")
-    joined = (
-        equi_join(runs, observed, by, "inner")
-        if by
-        else runs.withColumn("__o", observed.select(F.struct("n", "moran_i")).scalar()).select("*", "__o.*").drop("__o")
+    if not by:
+        present = present.withColumn("__all", F.lit(0))
+    means = present.groupBy(*groups).agg(F.avg(value).alias("__mean"))
+    centred = materialise(
+        equi_join(present.select(*groups, F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(value).alias("z")), means, groups)
+        .withColumns({"spot": _place("x", "y"), "z": F.col("z") - F.col("__mean")})
+        .drop("__mean")
     )
+    links = materialise(_links(centred, "x", "y", groups, radius))
+    sums = materialise(permuted_sums(centred, groups, nsim, seed))
+    # at most nsim + 1 numbers per group
+    tops = _run_totals(links, sums, groups).groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("sim", "top"))).alias("__runs"))
+    linked = links.groupBy(*groups).agg(F.sum("own").alias("n"))
+    squares = centred.groupBy(*groups).agg(F.sum(F.col("z") * F.col("z")).alias("__square"))
+    joined = equi_join(equi_join(squares, linked, groups, "left"), tops, groups, "left")
+    shown = joined.withColumn("__i", F.transform("__runs.top", lambda top: ratio(top, F.col("__square"))))
+    shown = shown.withColumns({"moran_i": F.col("__i")[0], "n": F.coalesce("n", F.lit(0).cast("long"))})
     # guard the comparison of equal permutations against rounding
-    as_large = F.count_if(F.col("i_sim") >= F.col("moran_i") - 1e-12)
-    return joined.groupBy(*by, "n", "moran_i").agg(
-        F.when(F.col("moran_i").isNotNull(), (as_large + 1) / F.lit(float(nsim + 1))).alias("p_value"), F.count(F.lit(1)).alias("nsim")
-    )
+    as_large = F.size(F.filter(F.slice("__i", 2, nsim), lambda i: i >= F.col("moran_i") - 1e-12)) if nsim else F.lit(0)
+    p_value = F.when(F.col("moran_i").isNotNull(), (as_large + 1) / F.lit(float(nsim + 1)))
+    return shown.select(*by, "n", "moran_i", p_value.alias("p_value"), F.lit(nsim).cast("long").alias("nsim"))

@@ -1,5 +1,6 @@
 """Estimators against dense NumPy references on small data."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -200,6 +201,39 @@ def test_moran_finds_a_trend(spark):
     assert moran.morans_i_test(df, "k", "v", "X", "Y", 1.0, nsim=99).first().p_value == pytest.approx(0.01)
 
 
+def dense_permutations(points, radius, nsim, seed):
+    """p-value with the values dealt by md5 order, run by run."""
+    order = lambda sim: sorted(range(len(points)), key=lambda i: (hashlib.md5(f"{seed}:{sim}:{points[i][0]}".encode()).hexdigest(), points[i][0]))
+    fixed, (n, observed), large = order(0), dense_moran(points, radius), 0
+    for sim in range(1, nsim + 1):
+        value_at = dict(zip(fixed, order(sim), strict=True))
+        dealt = [(*p[:3], points[value_at[i]][3]) for i, p in enumerate(points)]
+        large += dense_moran(dealt, radius)[1] >= observed - 1e-12
+    return n, observed, (large + 1) / (nsim + 1)
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_moran_permutations_against_dense_runs_per_group(spark, monkeypatch, block):
+    monkeypatch.setattr(moran, "RUN_BLOCK", block)
+    rng = np.random.default_rng(11)
+    groups = {
+        "a": [(f"a{i}", float(rng.uniform(0, 4)), float(rng.uniform(0, 4)), float(rng.normal())) for i in range(30)] + [("alone", 50.0, 50.0, 3.0)],
+        # two thirds of the points at one position, equal values among them
+        None: [(f"n{i}", 1.0, 1.0, float(i % 3)) for i in range(20)] + [(f"m{i}", 1.0 + i / 10, 1.5, float(i)) for i in range(10)],
+        "far": [(f"f{i}", 10.0 * i, 0.0, float(i)) for i in range(4)],
+        "flat": [(f"e{i}", i / 10, 0.0, 2.0) for i in range(4)],
+    }
+    rows = [(g, *p) for g, points in groups.items() for p in points] + [("a", "gone", 1.0, 1.0, None), ("empty", "none", 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "g string, k string, X double, Y double, v double")
+    got = {r.g: r for r in moran.morans_i_test(df, "k", "v", "X", "Y", 1.0, ["g"], nsim=39, seed=5).collect()}
+    assert set(got) == set(groups)
+    for g in ("a", None):
+        n, value, p = dense_permutations(groups[g], 1.0, 39, 5)
+        assert (got[g].n, got[g].nsim) == (n, 39) and got[g].moran_i == pytest.approx(value, abs=1e-12) and got[g].p_value == pytest.approx(p)
+    assert (got["far"].n, got["far"].moran_i, got["far"].p_value) == (0, None, None)
+    assert (got["flat"].n, got["flat"].moran_i, got["flat"].p_value) == (4, None, None)
+
+
 def test_paired_t(spark):
     df = spark.createDataFrame([(1.0, 0.2), (2.5, 1.0), (3.0, 2.9), (4.1, 3.0), (None, 1.0)], "a double, b double")
     out = pairs.paired_t_test(df, "a", "b")
