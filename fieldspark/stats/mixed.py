@@ -28,9 +28,15 @@ from ..operators.joins import group_effect
 from ..sources.schemas import COEFFICIENTS
 from .design import Term, cross_products, design_frame, term_columns, term_name
 from .linear import predict_column
-from .solve import independent_columns, minimise
+from .solve import Optimum, differences, independent_columns, newton
 
 MAX_YEARS = 2000  # a year effect has as many levels as the calendar has years
+# Logarithm of the group variance ratio: upper end of its first range, what a wider one adds, and the widest.
+TOP, WIDER, WIDEST = 10.0, 12.0, 34.0
+# Digits aimed at by the nodes, largest error of an interpolated group sum, and the range of the logarithm of the year deviation.
+NODE_DIGITS, NODE_ERROR, YEAR_LIMIT = 14.0, 1e-12, 15.0
+# Step of the differences, and relative error of the cross products and interpolated sums.
+STEP, ROUNDING = 1e-2, 1e-14
 
 
 @dataclass
@@ -48,6 +54,7 @@ class MixedStats:
     nodes: np.ndarray
     group_sums: np.ndarray
     group_logdet: np.ndarray
+    node_error: float = 0.0  # measured between the nodes
 
     def positions(self, terms: Sequence[Term]) -> list[int]:
         place = {t: i for i, t in enumerate(self.terms)}
@@ -70,12 +77,14 @@ def year_levels(df: DataFrame, year: str) -> list[str]:
 
 
 def collect_stats(
-    df: DataFrame, response: str, terms: Sequence[Term], group: str, year: str, years: Sequence[str] | None = None
+    df: DataFrame, response: str, terms: Sequence[Term], group: str, year: str, years: Sequence[str] | None = None, top: float = TOP
 ) -> MixedStats:
     """Two jobs: cross products of year marks, terms and response, and their sums per group folded into A(l).
 
     Both combine partially before the shuffle, so a group with a third of all
-    rows costs no more than any other.
+    rows costs no more than any other. The sums are also taken at points between
+    the nodes, which measures the error of interpolation; where it exceeds
+    ``NODE_ERROR``, half as many nodes again are tried.
     """
     levels = list(years) if years is not None else year_levels(df, year)
     rows = design_frame(df, terms, [response], keep=[group, year])
@@ -86,24 +95,43 @@ def collect_stats(
     )
     both, n = cross_products(frame.drop(group), [*marks, *columns])
     y = len(levels)
-    low, high = -math.log(max(n, 2)) - 12.0, 10.0
-    nodes = chebyshev_nodes(low, high)
     per_group = frame.groupBy(group).agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in [*marks, *columns]]
     )
-    sums, logdet, groups = group_pass(per_group, [*marks, *columns], nodes)
+    digits, error = NODE_DIGITS, math.inf
+    for _ in range(3):
+        nodes, between = chebyshev_nodes(-math.log(max(n, 2)) - 12.0, top, digits)
+        sums, logdet, groups = group_pass(per_group, [*marks, *columns], np.concatenate([nodes, between]))
+        k = len(nodes)
+        error = interpolation_error(nodes, sums[:k], between, sums[k:])
+        if error <= NODE_ERROR:
+            break
+        digits *= 1.5
+    sums, logdet = sums[:k], logdet[:k]
     return MixedStats(
-        list(terms), response, n, groups, both[y:, y:], levels, np.diag(both)[:y].copy(), both[:y, y:], nodes, sums, logdet
+        list(terms), response, n, groups, both[y:, y:], levels, np.diag(both)[:y].copy(), both[:y, y:], nodes, sums, logdet, error
     )
 
 
-def chebyshev_nodes(low: float, high: float, digits: float = 11.5) -> np.ndarray:
-    """Nodes on the log scale, as many as the poles of the logistic at +-i*pi demand."""
+def chebyshev_nodes(low: float, high: float, digits: float = NODE_DIGITS) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes on the log scale, as many as the poles of the logistic at +-i*pi demand, and points half-way between some."""
     half = (high - low) / 2
     rate = math.log(math.pi / half + math.sqrt(1 + (math.pi / half) ** 2))
     count = int(math.ceil(digits * math.log(10) / rate))
     k = np.arange(count + 1)
-    return (low + high) / 2 + half * np.cos(math.pi * k / count)
+    place = lambda at: (low + high) / 2 + half * np.cos(math.pi * at / count)
+    return place(k), place(np.unique(np.linspace(0, count - 1, 8).astype(int)) + 0.5)
+
+
+def interpolation_error(nodes: np.ndarray, sums: np.ndarray, between: np.ndarray, direct: np.ndarray) -> float:
+    """Largest error of the interpolated sums, in units of the largest diagonals (the sums rise with the ratio)."""
+    worst = 0.0
+    spread = np.sqrt(np.maximum(np.diagonal(direct, axis1=1, axis2=2).max(axis=0), 0.0))
+    units = np.outer(spread, spread)
+    for x, want in zip(between, direct, strict=True):
+        gap = np.abs(np.tensordot(barycentric(nodes, x), sums, axes=1) - want)
+        worst = max(worst, float(np.max(np.divide(gap, units, out=np.zeros_like(gap), where=units > 0), initial=0.0)))
+    return worst
 
 
 def barycentric(nodes: np.ndarray, x: float) -> np.ndarray:
@@ -173,6 +201,8 @@ class MixedFit:
     year_effects: np.ndarray
     fixed_var: float
     rank: int = field(default=0)
+    converged: bool = True
+    boundary: tuple[str, ...] = ()  # grouping columns whose deviation is zero or at the upper end of its range
 
     @property
     def aic(self) -> float:
@@ -192,12 +222,13 @@ class MixedFit:
         rows = [(self.response, term_name(t), float(b), float(s)) for t, b, s in zip(self.terms, self.beta, se, strict=True)]
         return spark.createDataFrame(rows, COEFFICIENTS)
 
-    def summary(self) -> dict[str, float]:
+    def summary(self) -> dict[str, float | bool | str]:
         values = {
             "aic": self.aic, "deviance": self.deviance, "r2m": self.r2_marginal, "r2c": self.r2_conditional,
             "sigma2": self.sigma2, "group_var": self.group_var, "year_var": self.year_var, "n": self.n,
         }
-        return {name: float(v) for name, v in values.items()}
+        ends = {"converged": bool(self.converged), "boundary": ",".join(self.boundary)}
+        return {name: float(v) for name, v in values.items()} | ends
 
 
 class _Likelihood:
@@ -252,34 +283,49 @@ class _Likelihood:
             return logdet + fixed + dof * (1 + math.log(2 * math.pi * rss / dof))
         return logdet + s.n * (1 + math.log(2 * math.pi * rss / s.n))
 
-    def best(self, start: tuple[float, float] | None) -> tuple[float, float, float]:
-        """Minimum over the inside and the edges (either deviation zero)."""
-        low = self.s.nodes.min() / 2
-
-        def inside(point: np.ndarray) -> float:
-            if point[0] < low or point[0] > 5 or abs(point[1]) > 15:
-                return 1e299
-            return self.deviance(math.exp(point[0]), math.exp(point[1]))
-
+    def noise(self, theta_g: float, theta_t: float) -> float:
+        """Error of the deviance from the digits that the residual sum loses against the sum of squares."""
+        low, _ = self.factor(theta_g, theta_t)
+        return ROUNDING * self.s.n / float(low[-1, -1]) ** 2
+
+    def best(self, start: tuple[float, float] | None) -> tuple[float, float, Optimum, tuple[bool, bool]]:
+        """Minimum over the inside and the edges (either deviation zero), and which deviation is at an end."""
+        # differences reach a little beyond a point
+        low = np.array([self.s.nodes.min() / 2 + 0.05, -YEAR_LIMIT])
+        high = np.array([self.s.nodes.max() / 2 - 0.05, YEAR_LIMIT])
+
+        def lowest(fn, axes: list[int], starts) -> Optimum:
+            origin = min((np.array(p) for p in starts), key=fn)
+            return newton(differences(fn, STEP), origin, low[axes], high[axes])
+
+        group_line, year_line = np.linspace(low[0], high[0], 12), np.linspace(-6, 4, 9)
+        inside = lambda v: self.deviance(math.exp(v[0]), math.exp(v[1]))
+        no_group = lambda v: self.deviance(0.0, math.exp(v[0]))
+        no_year = lambda v: self.deviance(math.exp(v[0]), 0.0)
         if start is None or min(start) <= 0:
-            grid = [(a, b) for a in np.linspace(-4, 3, 8) for b in np.linspace(-5, 2, 8)]
-            origin = min(grid, key=lambda g: inside(np.array(g)))
+            starts = [(a, b) for a in group_line for b in year_line]
         else:
-            origin = (math.log(start[0]), math.log(start[1]))
-        point, value = minimise(inside, np.array(origin), 0.4)
-        found = (math.exp(point[0]), math.exp(point[1]), value)
-        no_group = lambda v: self.deviance(0.0, math.exp(v[0])) if abs(v[0]) < 15 else 1e299
-        no_year = lambda v: self.deviance(math.exp(v[0]), 0.0) if low <= v[0] <= 5 else 1e299
-        # an edge can only win when the inside search drifted towards it
-        edges = [(0.0, 0.0, self.deviance(0.0, 0.0))]
-        if point[1] < -4:
-            v, d = minimise(no_year, np.array([point[0]]), 0.4)
-            edges.append((math.exp(v[0]), 0.0, d))
-        if point[0] < low + 2 or point[0] < -4:
-            v, d = minimise(no_group, np.array([point[1]]), 0.4)
-            edges.append((0.0, math.exp(v[0]), d))
-        edge = min(edges, key=lambda e: e[2])
-        return edge if edge[2] <= found[2] + 1e-9 else found
+            starts = [(math.log(start[0]), math.log(start[1]))]
+        found = lowest(inside, [0, 1], starts)
+        if start is not None and not found.converged:
+            found = lowest(inside, [0, 1], [found.point, *[(a, b) for a in group_line for b in year_line]])
+        group_only = lowest(no_year, [0], [found.point[:1], *group_line[:, None]])
+        year_only = lowest(no_group, [1], [found.point[1:], *year_line[:, None]])
+        none = self.deviance(0.0, 0.0)
+        edges = [
+            (0.0, 0.0, Optimum(np.zeros(0), none, 0.0, 0.0, np.zeros(0, bool), none < 1e299), (True, True)),
+            (math.exp(group_only.point[0]), 0.0, group_only, (False, True)),
+            (0.0, math.exp(year_only.point[0]), year_only, (True, False)),
+        ]
+        edge = min(edges, key=lambda e: e[2].value)
+        theta_g, theta_t, best, zero = (math.exp(found.point[0]), math.exp(found.point[1]), found, (False, False))
+        if edge[2].value <= found.value + 1e-9:
+            theta_g, theta_t, best, zero = edge
+        if math.isfinite(best.slope) and not best.converged:
+            noise = self.noise(theta_g, theta_t) / STEP
+            best.converged = best.slope <= noise and best.curvature >= -noise / STEP
+        at_end = (zero[0] or math.log(theta_g) >= high[0], zero[1] or math.log(theta_t) >= high[1])
+        return theta_g, theta_t, best, at_end
 
 
 def fit_mixed(
@@ -292,7 +338,8 @@ def fit_mixed(
 ) -> MixedFit:
     """Maximum likelihood (or REML) fit from collected statistics; runs no Spark job."""
     like = _Likelihood(stats, terms, reml)
-    theta_g, theta_t, deviance = like.best(start)
+    theta_g, theta_t, optimum, at_end = like.best(start)
+    deviance = optimum.value
     low, _ = like.factor(theta_g, theta_t)
     y, p, n = like.y, like.p, stats.n
     fixed = low[y : y + p, y : y + p]
@@ -313,7 +360,8 @@ def fit_mixed(
     return MixedFit(
         stats.response, group, year, list(terms), full_beta, full_cov, sigma2,
         sigma2 * theta_g**2, sigma2 * theta_t**2, (theta_g, theta_t), deviance, n, reml,
-        stats.years, years / like.scale[-1], fixed_var, p,
+        stats.years, years / like.scale[-1], fixed_var, p, optimum.converged,
+        tuple(name for name, end in zip((group, year), at_end, strict=True) if end),
     )
 
 
@@ -353,6 +401,7 @@ class StatsSource:
         self.common = na_policy == "common"
         self.years = year_levels(df, year)
         self.cache: dict[frozenset, MixedStats] = {}
+        self.top: dict[frozenset, float] = {}
 
     def needed(self, terms: Sequence[Term]) -> frozenset:
         """The columns whose nulls drop a row from a model of these terms."""
@@ -368,11 +417,19 @@ class StatsSource:
         if key not in self.cache:
             possible = [t for t in self.terms if not (set(t) & self.nullable) - key]
             rows = self.df.dropna(subset=sorted(key)) if key else self.df
-            self.cache[key] = collect_stats(rows, self.response, possible, self.group, self.year, self.years)
+            self.cache[key] = collect_stats(rows, self.response, possible, self.group, self.year, self.years, self.top.get(key, TOP))
         return self.cache[key]
 
     def fit(self, terms: Sequence[Term], reml: bool = False, start: tuple[float, float] | None = None) -> MixedFit:
-        return fit_mixed(self.stats(terms), terms, self.group, self.year, reml, start)
+        """The fit; sums over a wider range are collected while its group deviation ends at the top of the present one."""
+        key = self.needed(terms)
+        while True:
+            fit = fit_mixed(self.stats(terms), terms, self.group, self.year, reml, start)
+            top = self.top.get(key, TOP)
+            if self.group not in fit.boundary or fit.theta[0] == 0 or top >= WIDEST:
+                return fit
+            self.top[key], start = top + WIDER, None
+            del self.cache[key]
 
 
 @dataclass

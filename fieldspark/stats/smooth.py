@@ -23,11 +23,13 @@ from ..functions.nulls import missing
 from ..sources.io import materialise
 from .design import Term, cross_products, term_column, term_columns
 from .mixed import SelectionLog
-from .solve import independent_columns, minimise
+from .solve import Optimum, independent_columns, newton
 
 
 # Landmarks per column of a basis, cells along a side of the grid, and rounds of k-means.
 LANDMARKS, GRID, ROUNDS = 4, 64, 10
+# Range of the logarithms of smoothing parameters, the grid of first guesses, and how many of them are followed.
+LOG_LIMIT, START_LOGS, STARTS = 25.0, (-9.0, -4.5, 0.0, 4.5, 9.0), 3
 
 
 @dataclass
@@ -224,6 +226,8 @@ class SmoothFit:
     method: str
     criterion: float
     adjusted_r2: float
+    converged: bool = True
+    boundary: tuple[str, ...] = ()  # smooths whose parameter is at an end of its range, or beyond any effect
 
     @property
     def aic(self) -> float:
@@ -247,7 +251,13 @@ class SmoothFit:
 
 
 def fit_smooth(stats: SmoothStats, response: str, terms: Sequence[Term], method: str = "ML") -> SmoothFit:
-    """Penalised fit with smoothing parameters by ML or REML; runs no Spark job."""
+    """Penalised fit with smoothing parameters by ML or REML; runs no Spark job.
+
+    Newton steps with exact derivatives descend from the lowest points of a
+    coarse grid; the fit tells whether its end is a minimum, and which smooths
+    have none inside the range. A saturated model has no criterion and does not
+    converge.
+    """
     if method not in ("ML", "REML"):
         raise ValueError("method must be 'ML' or 'REML'")
     place = {t: i for i, t in enumerate(stats.terms)}
@@ -278,33 +288,60 @@ def fit_smooth(stats: SmoothStats, response: str, terms: Sequence[Term], method:
             out[np.ix_(inside, inside)] += math.exp(log) * s
         return out
 
-    def criterion(logs: np.ndarray) -> float:
-        if np.any(np.abs(logs) > 25) or n <= free:
-            return 1e299
+    active = [j for j, (inside, _) in enumerate(blocks) if inside]
+
+    def criterion(part: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Criterion at the logarithms of the active parameters, with gradient and Hessian."""
+        size = len(active)
+        nothing = math.inf, np.zeros(size), np.zeros((size, size))
+        logs = np.zeros(len(blocks))
+        logs[active] = part
         whole = g + assemble(logs)
         try:
             low = np.linalg.cholesky(whole)
+            half = np.linalg.solve(low, c)
+            rss = yy - float(half @ half)
+            if rss <= 0 or n <= free:
+                return nothing
+            inverse = np.linalg.inv(whole)
+            if method == "REML":
+                logdet, dof, spread, place = 2 * float(np.log(np.diag(low)).sum()), n - free, inverse, {i: i for i in range(len(whole))}
+            else:
+                inner = whole[np.ix_(penalised, penalised)]
+                logdet, dof, spread = (np.linalg.slogdet(inner)[1] if penalised else 0.0), n, np.linalg.inv(inner)
+                place = {i: k for k, i in enumerate(penalised)}
         except np.linalg.LinAlgError:
-            return 1e300
-        rss = yy - float(np.sum(np.linalg.solve(low, c) ** 2))
-        if rss <= 0:
-            return 1e300
-        prior = base_logdet + sum(len(i) * log for (i, _), log in zip(blocks, logs, strict=True))
-        if method == "REML":
-            logdet, dof = 2 * float(np.log(np.diag(low)).sum()), n - free
-        else:
-            inner = whole[np.ix_(penalised, penalised)]
-            logdet, dof = (np.linalg.slogdet(inner)[1] if penalised else 0.0), n
-        return logdet - prior + dof * (math.log(2 * math.pi * rss / dof) + 1)
-
-    active = len(blocks)
-    if penalised:
+            return nothing
+        beta = np.linalg.solve(low.T, half)
+        scaled = [math.exp(logs[j]) * blocks[j][1] for j in active]
+        where = [blocks[j][0] for j in active]
+        pulls = [s @ beta[inside] for inside, s in zip(where, scaled, strict=True)]
+        slope = np.array([beta[inside] @ pull for inside, pull in zip(where, pulls, strict=True)])
+        rows = [[place[i] for i in inside] for inside in where]
+        traces = np.array([np.sum(spread[np.ix_(r, r)] * s) for r, s in zip(rows, scaled, strict=True)])
+        bend, twist = np.diag(slope), np.diag(traces)
+        for a in range(size):
+            for b in range(size):
+                bend[a, b] -= 2 * pulls[a] @ inverse[np.ix_(where[a], where[b])] @ pulls[b]
+                cross = spread[np.ix_(rows[a], rows[b])]
+                twist[a, b] -= np.sum((scaled[a] @ cross) * (cross @ scaled[b]))
+        ranks = np.array([float(len(inside)) for inside in where])
+        value = logdet - base_logdet - float(ranks @ part) + dof * (math.log(2 * math.pi * rss / dof) + 1)
+        gradient = traces - ranks + dof * slope / rss
+        return value, gradient, twist + dof * (bend / rss - np.outer(slope, slope) / rss**2)
+
+    if active:
         from itertools import product
 
-        starts = [np.array(p, dtype=float) for p in product((-6.0, 0.0, 6.0), repeat=active)]
-        logs, value = minimise(criterion, min(starts, key=criterion), 1.5)
+        starts = sorted((np.array(p) for p in product(START_LOGS, repeat=len(active))), key=lambda p: criterion(p)[0])
+        limits = np.full(len(active), LOG_LIMIT)
+        best = min((newton(criterion, p, -limits, limits) for p in starts[:STARTS]), key=lambda o: (not math.isfinite(o.value), o.value))
     else:
-        logs, value = np.zeros(active), criterion(np.zeros(active))
+        value = criterion(np.zeros(0))[0]
+        best = Optimum(np.zeros(0), value, 0.0, 0.0, np.zeros(0, bool), math.isfinite(value))
+    logs = np.zeros(len(blocks))
+    logs[active] = best.point
+    boundary = tuple(stats.bases[j].smooth.label() for j, edge in zip(active, best.edge, strict=True) if edge)
     whole = g + assemble(logs)
     beta = np.linalg.solve(whole, c)
     edf = float(np.trace(np.linalg.solve(whole, g)))
@@ -320,7 +357,7 @@ def fit_smooth(stats: SmoothStats, response: str, terms: Sequence[Term], method:
         spread = (yy - n * mean * mean) / (n - 1)
         residual_var = (rss - n * (mean - fitted_mean) ** 2) / (n - 1)
         adjusted = 1 - residual_var * (n - 1) / (spread * (n - edf)) if spread > 0 else adjusted
-    return SmoothFit(response, list(terms), stats.bases, full[order], np.exp(logs), edf, rss, n, method, value, adjusted)
+    return SmoothFit(response, list(terms), stats.bases, full[order], np.exp(logs), edf, rss, n, method, best.value, adjusted, best.converged, boundary)
 
 
 class SmoothSource:

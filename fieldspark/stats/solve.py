@@ -1,9 +1,10 @@
-"""Small dense helpers for the driver: rank-aware solves, a simplex minimiser, Student's t."""
+"""Small dense helpers for the driver: rank-aware solves, a Newton minimiser with a certificate, Student's t."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -29,38 +30,91 @@ def independent_columns(gram: np.ndarray, tolerance: float = 1e-10) -> list[int]
     return keep
 
 
-def minimise(fn: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.5, tolerance: float = 1e-9, limit: int = 400):
-    """Nelder-Mead simplex search; returns the best point and value."""
-    dim = len(start)
-    points = [np.array(start, dtype=float)]
-    points += [points[0] + step * np.eye(dim)[i] for i in range(dim)]
-    values = [fn(p) for p in points]
+@dataclass
+class Optimum:
+    """A minimum inside a box, and what shows it to be one.
+
+    ``slope`` is the largest gradient entry among the coordinates not held at an
+    end of the box, ``curvature`` the smallest eigenvalue of their Hessian.
+    ``edge`` marks coordinates at an end, or so far out that the function is flat.
+    """
+
+    point: np.ndarray
+    value: float
+    slope: float
+    curvature: float
+    edge: np.ndarray
+    converged: bool
+
+
+def newton(
+    fn: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]],
+    start: np.ndarray,
+    low: np.ndarray,
+    high: np.ndarray,
+    tolerance: float = 1e-6,
+    limit: int = 200,
+) -> Optimum:
+    """Minimum of a smooth function from value, gradient and Hessian; an infinite value marks a point outside its domain.
+
+    Directions of negative curvature are followed downwards, so a saddle is no stop.
+    """
+    x = np.clip(np.array(start, dtype=float), low, high)
+    value, gradient, hessian = fn(x)
+    if not math.isfinite(value):
+        return Optimum(x, value, math.inf, -math.inf, np.zeros(len(x), bool), False)
+    small = tolerance * max(1.0, abs(value) * 1e-3)
     for _ in range(limit):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        spread = max(float(np.max(np.abs(p - points[0]))) for p in points[1:])
-        if values[-1] - values[0] < tolerance and spread < 1e-5:
+        free = ~(((x <= low) & (gradient > 0)) | ((x >= high) & (gradient < 0)))
+        if not free.any():
             break
-        centre = np.mean(points[:-1], axis=0)
-        reflected = centre + (centre - points[-1])
-        value = fn(reflected)
-        if value < values[0]:
-            expanded = centre + 2 * (centre - points[-1])
-            other = fn(expanded)
-            points[-1], values[-1] = (expanded, other) if other < value else (reflected, value)
-        elif value < values[-2]:
-            points[-1], values[-1] = reflected, value
-        else:
-            toward = reflected if value < values[-1] else points[-1]
-            contracted = centre + 0.5 * (toward - centre)
-            other = fn(contracted)
-            if other < min(value, values[-1]):
-                points[-1], values[-1] = contracted, other
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-                values = [values[0]] + [fn(p) for p in points[1:]]
-    best = int(np.argmin(values))
-    return points[best], values[best]
+        curves, axes = np.linalg.eigh(hessian[np.ix_(free, free)])
+        along = axes.T @ gradient[free]
+        if np.abs(gradient[free]).max() <= small:
+            if curves[0] >= -small:
+                break
+            along[0] += -10 * small if along[0] <= 0 else 10 * small
+        step = np.zeros(len(x))
+        step[free] = -axes @ (along / np.maximum(np.abs(curves), 1e-8))
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-300))
+        size, moved = 1.0, False
+        while size > 1e-12 and not moved:
+            there = np.clip(x + size * step, low, high)
+            trial = fn(there)
+            # the slack lets the last steps pass below the rounding of the value
+            if trial[0] <= value + 1e-4 * min(0.0, float(gradient @ (there - x))) + 1e-13 * abs(value):
+                moved = bool(np.abs(there - x).max() > 0)
+                x, (value, gradient, hessian) = there, trial
+                break
+            size /= 2
+        if not moved:
+            break
+    held = ((x <= low) & (gradient > 0)) | ((x >= high) & (gradient < 0))
+    free = ~held
+    slope = float(np.abs(gradient[free]).max()) if free.any() else 0.0
+    curvature = float(np.linalg.eigvalsh(hessian[np.ix_(free, free)])[0]) if free.any() else 0.0
+    edge = held | (x <= low) | (x >= high) | (np.abs(np.diag(hessian)) <= 100 * small)
+    return Optimum(x, float(value), slope, curvature, edge, slope <= 10 * small and curvature >= -10 * small)
+
+
+def differences(fn: Callable[[np.ndarray], float], step: float = 1e-2) -> Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]:
+    """Value, gradient and Hessian of a function by central differences of fourth order (mixed ones of second)."""
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        dim, middle = len(x), fn(x)
+        gradient, hessian, unit = np.zeros(dim), np.zeros((dim, dim)), step * np.eye(dim)
+        for i in range(dim):
+            a, b, c, d = (fn(x + k * unit[i]) for k in (-2, -1, 1, 2))
+            gradient[i] = (a - 8 * b + 8 * c - d) / (12 * step)
+            hessian[i, i] = (-a + 16 * b - 30 * middle + 16 * c - d) / (12 * step * step)
+            for j in range(i):
+                corners = [fn(x + p * unit[i] + q * unit[j]) * p * q for p in (-1, 1) for q in (-1, 1)]
+                hessian[i, j] = hessian[j, i] = sum(corners) / (4 * step * step)
+        if not (np.isfinite(gradient).all() and np.isfinite(hessian).all() and np.abs(gradient).max() < 1e200):
+            return math.inf, np.zeros(dim), np.zeros((dim, dim))
+        return middle, gradient, hessian
+
+    return at
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -29,7 +29,8 @@ def write_models(spark: SparkSession, fits: dict[str, LinearFit | MixedFit], pat
     models, terms, covariance, levels = [], [], [], []
     for name, fit in fits.items():
         if isinstance(fit, MixedFit):
-            scalars = {s: float(getattr(fit, s)) for s in MIXED} | {"theta_group": float(fit.theta[0]), "theta_year": float(fit.theta[1]), "rank": float(fit.rank), "reml": float(fit.reml)}
+            scalars = {s: float(getattr(fit, s)) for s in MIXED} | {"theta_group": float(fit.theta[0]), "theta_year": float(fit.theta[1]), "rank": float(fit.rank), "reml": float(fit.reml), "converged": float(fit.converged)}
+            scalars |= {"end_group": float(fit.group in fit.boundary), "end_year": float(fit.year in fit.boundary)}
             models.append((name, FORMAT, "mixed", fit.response, int(fit.n), {"group": fit.group, "year": fit.year}, scalars))
             levels += [(name, i, y, float(e)) for i, (y, e) in enumerate(zip(fit.years, fit.year_effects, strict=True))]
         else:
@@ -58,10 +59,12 @@ def load_models(spark: SparkSession, path: str) -> dict[str, LinearFit | MixedFi
             out[m.model] = LinearFit(m.response, terms, beta, cov, s["sigma2"], m.n, s["r2"])
             continue
         years = sorted((r for r in stored["levels"] if r.model == m.model), key=lambda r: r.position)
+        ends = tuple(m["names"][k] for k in ("group", "year") if s.get(f"end_{k}"))
         out[m.model] = MixedFit(
             m.response, m["names"]["group"], m["names"]["year"], terms, beta, cov, s["sigma2"], s["group_var"], s["year_var"],
             (s["theta_group"], s["theta_year"]), s["deviance"], m.n, bool(s["reml"]), [r.level for r in years],
             np.array([r.effect for r in years]), s["fixed_var"], int(s["rank"]),
+            bool(s.get("converged", 1.0)), ends,
         )
     return out
 

@@ -200,7 +200,7 @@ def _(s: Stages) -> DataFrame:
     return _m2(s, reml=True).coefficients(s.spark)
 
 
-@query("lmm_r2", "model aic:d r2m:d r2c:d sigma2:d group_var:d year_var:d n:i")
+@query("lmm_r2", "model aic:d r2m:d r2c:d sigma2:d group_var:d year_var:d n:i converged:b boundary")
 def _(s: Stages) -> DataFrame:
     source = mixed.StatsSource(s.stored_samples, models.RESPONSE, models.M2_TERMS, models.GROUP, models.YEAR)
     fits = {"null": models.NULL_TERMS, "m1": models.M1_TERMS, "m2": models.M2_TERMS}
@@ -250,15 +250,15 @@ def _(s: Stages) -> DataFrame:
     return smooth.basis_table(table, "SITE", smooth.build_basis(surface, knots))
 
 
-@query("spatial_fit", "method aic:d edf:d adjusted_r2:d n:i")
+@query("spatial_fit", "method aic:d edf:d adjusted_r2:d n:i converged:b boundary")
 def _(s: Stages) -> DataFrame:
     table = io.materialise(s.planar)
     terms = [(), ("avg_t2m_siteclim",), ("lat",)]
     source = smooth.SmoothSource(table, "logDB_site", terms, spatial.SMOOTHS)
     fits = [source.fit(terms, method) for method in ("ML", "REML")]
     return s.spark.createDataFrame(
-        [(f.method, float(f.aic), float(f.edf), float(f.adjusted_r2), f.n) for f in fits],
-        "method string, aic double, edf double, adjusted_r2 double, n long",
+        [(f.method, float(f.aic), float(f.edf), float(f.adjusted_r2), f.n, bool(f.converged), ",".join(f.boundary)) for f in fits],
+        "method string, aic double, edf double, adjusted_r2 double, n long, converged boolean, boundary string",
     )
 
 
