@@ -232,7 +232,9 @@ def _(s: Stages) -> DataFrame:
 def _(s: Stages) -> DataFrame:
     active = s.samples.select("SITE", cal.year_text(F.col("COLL_DATE")).alias("year")).distinct()
     dated = s.env.select("SITE", cal.year_text(F.col("date")).alias("year"))
-    return jn.keep_matching(dated, active, ["SITE", "year"]).groupBy("SITE", "year").agg(F.count(F.lit(1)).alias("n"))
+    # counted first: the join then meets a few rows per site
+    counted = dated.groupBy("SITE", "year").agg(F.count(F.lit(1)).alias("n"))
+    return jn.keep_matching(counted, active, ["SITE", "year"])
 
 
 @query(
