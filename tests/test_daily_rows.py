@@ -68,6 +68,21 @@ def test_active_years_are_found_where_the_days_lie(spark, stages):
     assert not {str(r.date) for r in got} & {"1995-06-01", "1995-06-02"} and {r.island for r in got} == {0, 1}
 
 
+def test_sample_days_meet_the_weather_where_it_lies(spark, stages):
+    rows = [("S0", f"c{i}", -19.0, 47.0, f"1995-0{m}-28", f"1995-0{m + 1}-03") for i, m in enumerate((2, 4, 4, 6))]
+    periods = spark.createDataFrame(rows, "SITE string, SAMPLE_CODE string, SITE_LATITUDE double, SITE_LONGITUDE double, START_DATE string, COLL_DATE string")
+    fixed = {"SITE_TYPE": F.lit("t"), "SAMPLE_WEIGHT": F.lit(None).cast("double"), "DB_sample": F.lit(1.0), "n_days": F.datediff("COLL_DATE", "START_DATE")}
+    stages.stored_rates = periods.withColumns({c: F.col(c).cast("date") for c in ("START_DATE", "COLL_DATE")}).withColumns(fixed)
+    found = stages.periods
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan
+    got = {r.SAMPLE_CODE: r for r in found.where("DB_sample = 1").collect()}
+    assert sorted(got) == ["c0", "c1", "c2", "c3"]
+    days = stages.env.where("SITE = 'S0' AND date BETWEEN '1995-02-28' AND '1995-03-02'").toPandas()
+    clim = stages.climatology.where("SITE = 'S0' AND jdate BETWEEN 59 AND 61").toPandas()
+    assert got["c0"].avg_t2m_anom == pytest.approx(days.avg_t2m.mean() - clim.avg_t2m.mean()) and got["c0"].jdate == 60
+
+
 def test_copies_go_before_the_set_joins(spark):
     a = spark.createDataFrame([("x", None), ("x", None), ("y", "1"), ("y", "1"), ("z", "2")], "k string, v string")
     b = spark.createDataFrame([("x", None), ("z", "2"), ("z", "2"), ("w", "2")], "k string, v string")
