@@ -52,6 +52,16 @@ def test_means_per_site_move_no_day(stages, source):
     assert "Exchange" not in above(climate.climatology(climate.clean_predictors(env)), "Generate explode")
 
 
+@pytest.mark.parametrize("name", ["harmonics", "sample_n"])
+def test_line_items_are_summed_where_their_site_is_dealt(stages, name):
+    from fieldspark.verify.registry import REGISTRY
+
+    plan = REGISTRY[name].frame(stages)._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = max(i for i, line in enumerate(plan) if "FileScan" in line and "l_suppkey" in line)
+    dealt = max(i for i, line in enumerate(plan[:last]) if "Exchange" in line)
+    assert not any("Aggregate" in line for line in plan[dealt:last])
+
+
 def test_tasks_grow_with_the_sites(stages, monkeypatch):
     monkeypatch.setattr("fieldspark.sources.standin.SITES_PER_TASK", 0.1)
     assert stages.site_parts >= 50
