@@ -386,7 +386,7 @@ def _cross_pairs(spanning: bool):
     def run(table: pa.Table) -> pa.Table:
         node, n, comp, side = [table[c].to_numpy() for c in ("node", "n", "comp", "side")]
         sketches = table["sketch"].to_pylist()
-        rows = fold_to(sketches, min(map(len, sketches)))
+        rows = None
         pairs, distances = [], []
         one_block = table["i"][0].as_py() == table["j"][0].as_py()
         for x in range(len(node)):
@@ -394,6 +394,10 @@ def _cross_pairs(spanning: bool):
                 continue
             may = (comp != comp[x]) & (4 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x]))
             may &= node > node[x] if one_block else side == 1
+            if not may.any():
+                continue
+            if rows is None:  # many blocks have no pair to compare
+                rows = fold_to(sketches, min(map(len, sketches)))
             near = np.bitwise_count(rows[may] ^ rows[x]).sum(1).astype(np.int64)
             fits = 7 * near <= n[may] + n[x]
             found = np.flatnonzero(may)[fits]

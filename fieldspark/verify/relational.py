@@ -221,7 +221,7 @@ def _(s: Stages) -> DataFrame:
 )
 def _(s: Stages) -> DataFrame:
     dated = s.env.withColumn("jdate", F.dayofyear("date"))
-    return jn.suffix_join(dated, s.climatology, [*SITE_KEYS, "jdate"], "_clim")
+    return jn.suffix_join(dated, jn.never_sent(s.climatology), [*SITE_KEYS, "jdate"], "_clim", nullable=SITE_KEYS, apart=True)
 
 
 @query(

@@ -54,12 +54,13 @@ def test_means_per_site_move_no_day(stages, source):
 
 @pytest.mark.parametrize("name", ["harmonics", "sample_n"])
 def test_line_items_are_summed_where_their_site_is_dealt(stages, name):
-    from fieldspark.verify.registry import REGISTRY
+    from __spark_entry__ import queries
 
-    plan = REGISTRY[name].frame(stages)._jdf.queryExecution().executedPlan().toString().splitlines()
-    last = max(i for i, line in enumerate(plan) if "FileScan" in line and "l_suppkey" in line)
-    dealt = max(i for i, line in enumerate(plan[:last]) if "Exchange" in line)
-    assert not any("Aggregate" in line for line in plan[dealt:last])
+    plan = queries()[name].frame(stages)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scan = max(i for i, line in enumerate(plan) if "l_suppkey" in line and "Relation" in line)
+    dealt = max(i for i, line in enumerate(plan[:scan]) if "RepartitionByExpression" in line)
+    summed = max(i for i, line in enumerate(plan[:scan]) if "sum(l_quantity" in line or "Aggregate [" in line)
+    assert summed < dealt
 
 
 def test_tasks_grow_with_the_sites(stages, monkeypatch):

@@ -194,3 +194,39 @@ def test_cutoffs_are_null_with_a_null_residual(spark):
     rows = [("a", 122, -3.0, 0.1), ("a", 123, -5.0, None), ("a", 200, -9.0, 0.9), ("b", 122, -8.0, 0.8)]
     residuals = spark.createDataFrame(rows, "SITE string, jdate int, temp_res double, snow_res double")
     assert climate.residual_cutoffs(residuals, samples_).first().asDict() == {"min_temp": -5.0, "max_snow": None}
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_rounded_equals_round(spark):
+    from fieldspark.verify.columns import rounded
+
+    values = [None, 0.0, -0.0, 0.0000005, 0.0000015, -0.0000005, 2.5e-7, 1.0000005, 99999.9999995, 123456.1234565, 1e300, float("inf"), float("nan"), -3.14159265]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    spread = spark.range(50000).select((F.sin("id") * F.pow(F.lit(10.0), F.col("id") % 12 - 5)).alias("v"))
+    every = rows.union(spread).select((rounded(F.col("v"), 6) + 0.0).alias("got"), (F.round("v", 6) + 0.0).alias("want"))
+    assert every.where("NOT got <=> want").count() == 0
+    plan = every.select("got")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "floor" in plan
+
+
+def test_rows_with_null_keys_join_apart(spark):
+    from fieldspark.operators.joins import suffix_join
+
+    a = spark.createDataFrame([("x", 1, 1.0), (None, 1, 2.0), ("y", 2, 3.0), ("x", 1, 4.0)], "k string, d int, v double")
+    b = spark.createDataFrame([("x", 1, 5.0), (None, 1, 6.0), (None, 2, 7.0), ("x", 1, 8.0)], "k string, d int, v double")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        old = suffix_join(a, b, ["k", "d"], "_b", how, ["k"])
+        new = suffix_join(a, b, ["k", "d"], "_b", how, ["k"], apart=True)
+        assert old.columns == new.columns
+        assert sorted(map(str, old.collect())) == sorted(map(str, new.collect()))
+
+
+def test_days_and_climatology_join_without_a_shuffle_of_days(spark):
+    from __spark_entry__ import queries
+    from fieldspark.verify.stages import Stages
+
+    plan = queries()["left_join_suffix"].frame(Stages(spark, SMALL))._jdf.queryExecution().executedPlan().toString().splitlines()
+    days = [line for line in plan if "Exchange" in line and ("jdate" in line or "dayofyear" in line or "BroadcastExchange" in line and "date" in line)]
+    assert not days
