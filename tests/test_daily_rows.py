@@ -101,3 +101,13 @@ def test_copies_go_before_the_set_joins(spark):
         assert sorted(map(tuple, found.collect())) == want
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Aggregate", plan.index("Join")) == 2
+
+
+def test_stored_weather_is_dealt_once_in_plain_arrays(stages):
+    kinds = dict(stages.site_weather.dtypes)
+    assert kinds["shipped"] == "array<smallint>" and kinds["quantities"] == "array<double>"
+    plan = stages.daily.join(stages.daily_climatology.hint("merge"), [*SITE_KEYS], "left")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scans = {line.split("PushedFilters: ")[1].split("ReadSchema")[0] for line in text.splitlines() if "FileScan" in line and "shipped" in line}
+    assert len(scans) == 1
+    assert stages.climatology.where("SITE IS NULL").isEmpty()
