@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import materialise
-from .common import CASE, release, utf8
+from .common import CASE, bounded_batches, release, utf8
 
 SHINGLE = 5
 # Two sets link if 100 * shared >= LINK * union. The bounds below (7, 3/4) follow from it.
@@ -410,7 +410,8 @@ def _cross_pairs(spanning: bool):
             cut = len(chosen) < len(pair)
             pair = pair[chosen]
         ends = np.sort(node[pair], axis=1)
-        return pa.Table.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64()), pa.array(np.full(len(pair), cut))], names=["a", "b", "cut"])
+        part = pa.array(np.full(len(pair), table["run"][0].as_py(), np.int64))
+        return pa.Table.from_arrays([part, pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64()), pa.array(np.full(len(pair), cut))], names=["run", "a", "b", "cut"])
 
     return run
 
@@ -419,6 +420,7 @@ class Join:
     """The state of one join: documents, nodes, pairs already tested and links found."""
 
     def __init__(self, docs: DataFrame):
+        bounded_batches(docs.sparkSession)
         self.docs, self.met = docs, meet(docs)
         self.rows = self.met.where("kind = 0").select("doc_id", "n", "node", "sketch")
         self.nodes = materialise(
@@ -446,8 +448,11 @@ class Join:
         self.links = found if self.links is None else self.links.union(found)
         self.parts = materialise(components(self.links))
 
-    def left_over(self, spanning: bool) -> DataFrame:
-        """Untested pairs of different components that share a part and pass the sift, stored; ``cut`` tells that a block has more."""
+    def left_over(self, spanning: bool, parts: DataFrame | None = None) -> DataFrame:
+        """Pairs of different components that share a part and pass the sift, with their part (``run``), stored.
+
+        ``cut`` tells that a block has more of them. ``parts`` names the parts to look at, all if absent.
+        """
         lists = self.met.where("kind = 2").select("members").distinct()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,27 +462,34 @@ class Join:
                     run_id = np.array(xxhash.xxh3_64_intdigest(members), U).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), run_id)), pa.array(nodes), pa.array(np.full(len(nodes), len(nodes)))], names=["run", "node", "size"])
 
-        in_parts = lists.mapInArrow(run, "run bigint, node bigint, size bigint").join(self.labelled(), "node")
+        in_parts = lists.mapInArrow(run, "run bigint, node bigint, size bigint")
+        if parts is not None:
+            in_parts = in_parts.join(parts, "run", "left_semi")
+        in_parts = in_parts.join(self.labelled(), "node")
         mixed = in_parts.groupBy("run").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("run")
         blocks = F.ceil(F.col("size") / BLOCK_NODES)
         here = F.pmod(F.xxhash64("node"), blocks)
         spread = in_parts.join(mixed, "run", "left_semi").withColumn("k", here).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
         placed = spread.select("run", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "node", "n", "sketch", "comp")
-        found = placed.groupBy("run", "i", "j").applyInArrow(_cross_pairs(spanning), "a bigint, b bigint, cut boolean")
-        found = found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
-        return materialise(found.join(self.tested.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done IS NULL OR cut").select("a", "b", "cut"))
+        return materialise(placed.groupBy("run", "i", "j").applyInArrow(_cross_pairs(spanning), "run bigint, a bigint, b bigint, cut boolean"))
+
+    def untested(self, found: DataFrame) -> DataFrame:
+        return found.select("a", "b").distinct().join(self.tested, ["a", "b"], "left_anti")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     state = Join(docs)
     state.test(state.met.where("kind = 1").select("a", "b").distinct())
+    # A block that is not cut hands over all its pairs, so only parts with a cut block are looked at again.
+    parts = None
     for spanning in (True, False):
-        rest = state.left_over(spanning)
-        if rest.isEmpty():
-            break
-        state.test(rest.select("a", "b"))
-        if rest.where("cut").isEmpty():
+        found = state.left_over(spanning, parts)
+        rest = materialise(state.untested(found))
+        if not rest.isEmpty():
+            state.test(rest)
+        parts = found.where("cut").select("run").distinct()
+        if parts.isEmpty():
             break
     labels = state.labelled().select("node", "comp", "doc_id")
     smallest = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

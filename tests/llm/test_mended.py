@@ -7,7 +7,7 @@ import pytest
 import regex
 from tokenizers import Tokenizer
 
-from fieldspark.llm import bpe_trie, bytebpe, decontaminate, parity_join, token_counts, toxicity
+from fieldspark.llm import bpe_trie, bytebpe, common, decontaminate, parity_join, token_counts, toxicity
 from fieldspark.llm.common import append, plain_words
 from fieldspark.llm.queries import VOCABULARY
 
@@ -196,3 +196,21 @@ def test_forgotten_words_change_nothing(monkeypatch):
     for text in texts * 3:  # one call each: words pass from the newer to the older memory and back, or are lost
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert encoder.older and len(encoder.known) < 12
+
+
+def test_parts_that_handed_over_all_their_pairs_are_not_looked_at_again(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:40] + [f"x{i}" for i in range(20)]), " ".join(words[:40] + [f"y{i}" for i in range(20)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    state = parity_join.Join(docs)
+    state.test(state.met.where("kind = 1").select("a", "b").distinct())
+    found = state.left_over(True)
+    cut = found.where("cut").select("run").distinct()
+    assert state.left_over(False, cut.limit(0)).isEmpty()
+    assert {r.component_id for r in parity_join.join_documents(docs).collect()} == {0, 1, 2}
+
+
+def test_batches_are_bounded_by_their_bytes(spark):
+    docs = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) AS text")
+    sizes = common.append(docs, "text", "n bigint", lambda: lambda texts: [[len(texts)] * len(texts)], keep=["id"]).collect()
+    assert len(sizes) == 40 and max(r.n for r in sizes) <= 10
