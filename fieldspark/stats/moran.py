@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_key
 from ..functions.nulls import ratio
-from ..operators.joins import distance_band_pairs, equi_join
+from ..operators.joins import distance_band_pairs, equi_join, never_sent
 from ..operators.sampling import hashed_rank
 from ..sources.io import materialise
 
@@ -123,11 +123,12 @@ def permuted_sums(centred: DataFrame, by: Sequence[str], nsim: int, seed: int) -
         centred.withColumn("__d", draw_key(seed, F.lit(0), F.col("key"))), by, "__d", ["key"], "r"
     ).select(*by, "spot", "r")
     runs = centred.select(*by, "key", "z", F.explode(F.sequence(F.lit(0), F.lit(nsim))).alias("sim"))
+    # a row for every point and run, of which Spark sees the points alone
     dealt = hashed_rank(
         runs.withColumn("__d", draw_key(seed, F.col("sim"), F.col("key"))), [*by, "sim"], "__d", ["key"], "r"
     ).select(*by, "sim", "r", "z")
     sums = (
-        equi_join(dealt, fixed, [*by, "r"], "inner")
+        equi_join(never_sent(dealt), fixed, [*by, "r"], "inner")
         .groupBy(*by, "spot", "sim")
         .agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"))
     )
@@ -145,7 +146,7 @@ def _run_totals(links: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFra
     by = list(by)
     here = sums.select(*by, F.col("spot").alias("a"), "block", "s", "q")
     there = sums.select(*by, F.col("spot").alias("b"), "block", F.col("s").alias("sb"))
-    met = equi_join(equi_join(links, there, [*by, "b"], "inner"), here, [*by, "a", "block"], "inner")
+    met = equi_join(equi_join(links, never_sent(there), [*by, "b"], "inner"), never_sent(here), [*by, "a", "block"], "inner")
     products = F.when(
         F.col("a") == F.col("b"), F.zip_with("s", "q", lambda s, q: s * s - q)
     ).otherwise(F.zip_with("s", "sb", lambda s, t: s * t))
