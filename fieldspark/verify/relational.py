@@ -268,7 +268,8 @@ def _(s: Stages) -> DataFrame:
     "SELECT d.SITE, dayofyear(d.date) AS jdate, count(*) AS n, avg(e.tot_tp) AS tp FROM dat_t d JOIN env_t e ON d.SITE = e.SITE AND d.date = e.date GROUP BY ALL",
 )
 def _(s: Stages) -> DataFrame:
-    joined = jn.equi_join(s.sample_days, s.env.select("SITE", "date", "tot_tp"), ["SITE", "date"], "inner")
+    # sample days have a site and a date; both sides become days where their site is dealt
+    joined = jn.equi_join(s.placed_days, jn.never_sent(s.env.select("SITE", "date", "tot_tp")), ["SITE", "date"], "inner", [])
     return joined.groupBy("SITE", F.dayofyear("date").alias("jdate")).agg(F.count(F.lit(1)).alias("n"), F.avg("tot_tp").alias("tp"))
 
 
