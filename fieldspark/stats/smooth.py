@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,8 @@ from .solve import Optimum, independent_columns, newton
 
 # Landmarks per column of a basis, cells along a side of the grid, and rounds of k-means.
 LANDMARKS, GRID, ROUNDS = 4, 64, 10
+# Distances worked out at once.
+BLOCK = 1 << 20
 # Range of the logarithms of smoothing parameters, the grid of first guesses, and how many of them are followed.
 LOG_LIMIT, START_LOGS, STARTS = 25.0, (-9.0, -4.5, 0.0, 4.5, 9.0), 3
 
@@ -48,14 +50,25 @@ class Smooth:
 
 @dataclass
 class Basis:
-    """A smooth with its knots fixed."""
+    """A smooth with its knots fixed; its directions are worked out when they are first asked for."""
 
     smooth: Smooth
     knots: np.ndarray
     centre: np.ndarray
     scale: float
-    transform: np.ndarray  # raw columns (trend 3 + radial) -> basis columns
-    penalty: np.ndarray
+
+    @property
+    def transform(self) -> np.ndarray:
+        """From raw columns (trend 3 + radial) to basis columns."""
+        return self._directions[0]
+
+    @property
+    def penalty(self) -> np.ndarray:
+        return self._directions[1]
+
+    @cached_property
+    def _directions(self) -> tuple[np.ndarray, np.ndarray]:
+        return strongest_directions(self)
 
 
 def radial(distance: np.ndarray, kind: str) -> np.ndarray:
@@ -71,10 +84,10 @@ def radial_column(distance: Column, kind: str) -> Column:
     return F.when(distance > 0, distance * distance * F.log(distance)).otherwise(F.lit(0.0))
 
 
-def choose_knots(df: DataFrame, smooth: Smooth) -> np.ndarray:
+def choose_knots(df: DataFrame, smooth: Smooth, every: bool = False) -> np.ndarray:
     """Landmarks that stand for all distinct positions of the cluster, in order of x and y.
 
-    Up to ``LANDMARKS`` times k positions are all landmarks. More are summed up
+    With ``every``, all distinct positions are knots, however many there are. Else up to ``LANDMARKS`` times k positions are all landmarks. More are summed up
     in cells of a grid over their box; from the centre outwards the cell mean
     farthest from those taken is taken next; then k-means over all positions,
     one aggregation a round, moves the landmarks. The result depends neither on
@@ -83,6 +96,10 @@ def choose_knots(df: DataFrame, smooth: Smooth) -> np.ndarray:
     most = LANDMARKS * smooth.k
     spots = df.filter(F.col(smooth.by) == 1).select(F.col(smooth.x).cast("double").alias("x"), F.col(smooth.y).cast("double").alias("y"))
     spots = spots.dropna().distinct()
+    if every:
+        found = spots.toArrow()  # two numbers for each position
+        x, y = (found.column(c).to_numpy() for c in ("x", "y"))
+        return np.column_stack([x, y])[np.lexsort((y, x))]
     first = spots.limit(most + 1).collect()  # bounded by the size of the basis
     if len(first) <= most:
         return np.array(sorted((r.x, r.y) for r in first), dtype=float).reshape(-1, 2)
@@ -137,13 +154,26 @@ def _nearest_sums(spots: DataFrame, landmarks: np.ndarray) -> DataFrame:
 
 def build_basis(smooth: Smooth, knots: np.ndarray) -> Basis:
     """Trend plus the k strongest directions of the kernel on the landmarks, orthogonal to the trend there, with their penalty."""
-    m = len(knots)
-    centre = knots.mean(axis=0) if m else np.zeros(2)
+    centre = knots.mean(axis=0) if len(knots) else np.zeros(2)
+    return Basis(smooth, knots, centre, _widest(knots) or 1.0)
+
+
+def _widest(knots: np.ndarray) -> float:
+    """Largest distance of two knots, in blocks of bounded size."""
+    widest, rows = 0.0, max(1, BLOCK // max(len(knots), 1))
+    for at in range(0, len(knots), rows):
+        gaps = knots[at : at + rows, None, :] - knots[None, :, :]
+        widest = max(widest, float(np.sqrt((gaps**2).sum(axis=2)).max()))
+    return widest
+
+
+def strongest_directions(basis: Basis) -> tuple[np.ndarray, np.ndarray]:
+    """Transform and penalty of a basis."""
+    smooth, knots, m = basis.smooth, basis.knots, len(basis.knots)
     gaps = knots[:, None, :] - knots[None, :, :]
     distances = np.sqrt((gaps**2).sum(axis=2)) if m else np.zeros((0, 0))
-    scale = (float(distances.max()) if m > 1 else 0.0) or 1.0
-    trend = np.column_stack([np.ones(m), (knots - centre) / scale]) if m else np.zeros((0, 3))
-    values, vectors = np.linalg.eigh(radial(distances / scale, smooth.kind)) if m else (np.zeros(0), np.zeros((0, 0)))
+    trend = np.column_stack([np.ones(m), (knots - basis.centre) / basis.scale]) if m else np.zeros((0, 3))
+    values, vectors = np.linalg.eigh(radial(distances / basis.scale, smooth.kind)) if m else (np.zeros(0), np.zeros((0, 0)))
     strong = np.argsort(-np.abs(values), kind="stable")[: smooth.k]
     values, vectors = values[strong], vectors[:, strong]
     _, s, right = np.linalg.svd(trend.T @ vectors, full_matrices=True) if m else (None, np.zeros(0), np.zeros((0, 0)))
@@ -158,7 +188,7 @@ def build_basis(smooth: Smooth, knots: np.ndarray) -> Basis:
         inner = inside.T @ (values[:, None] * inside)
         energy, turns = np.linalg.eigh((inner + inner.T) / 2)
         penalty[3:, 3:] = turns @ np.diag(np.maximum(np.abs(energy), 1e-10)) @ turns.T
-    return Basis(smooth, knots, centre, scale, transform, penalty)
+    return transform, penalty
 
 
 def basis_columns(basis: Basis) -> list[Column]:
@@ -175,10 +205,15 @@ def basis_columns(basis: Basis) -> list[Column]:
 
 
 def basis_table(df: DataFrame, key: str, basis: Basis) -> DataFrame:
-    """Long table (key, knot, value) of the radial columns inside the cluster."""
-    radials = basis_columns(basis)[3:]
-    cells = F.array(*[F.struct(F.lit(i + 1).alias("knot"), c.alias("value")) for i, c in enumerate(radials)])
-    return df.filter(F.col(basis.smooth.by) == 1).select(key, F.inline(cells))
+    """Long table (key, knot, value) of the radial columns inside the cluster: every row with every knot, where the row lies."""
+    s = basis.smooth
+    schema = "knot int, __kx double, __ky double"
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(basis.knots, 1)]
+    knots = df.sparkSession.createDataFrame(rows, schema)
+    distance = F.sqrt(F.pow(F.col(s.x) - F.col("__kx"), 2) + F.pow(F.col(s.y) - F.col("__ky"), 2)) / F.lit(basis.scale)
+    value = F.col(s.by).cast("double") * radial_column(distance, s.kind)
+    inside = df.filter(F.col(s.by) == 1).select(F.col(key).alias("__key"), s.x, s.y, s.by)
+    return inside.crossJoin(F.broadcast(knots)).select(F.col("__key").alias(key), "knot", value.alias("value"))
 
 
 @dataclass
